@@ -86,8 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') <> '') AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') <> '') AS l
   FROM documents),
 r AS (SELECT row_number() OVER () AS rid, * FROM d),
 win AS (SELECT rid, i, array_to_string(w[i:i+7], ' ') AS s FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 7)) AS i FROM r)),
