@@ -88,7 +88,7 @@ def strict(judged: DataFrame) -> DataFrame:
 
 def regressions(parts: dict[str, DataFrame]) -> DataFrame:
     """kind, id, suggested_action; parts: by kind the transitions (id, change)."""
-    rows = [df.where("change = 'newly_bad'").select(F.lit(n).alias("nth"), F.lit(kind).alias("kind"), "id", F.format_string(REGRESSIONS[kind], "id").alias("suggested_action")) for n, (kind, df) in enumerate(parts.items())]
+    rows = [df.where("change = 'newly_bad'").select(F.lit(kind).alias("kind"), "id", F.format_string(REGRESSIONS[kind], "id").alias("suggested_action")) for kind, df in parts.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
