@@ -26,7 +26,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
     kept = oddsketch.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,9 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     byte goes whole; documents of which nothing is left go."""
     cut = suffixes.remove_repeats(docs, with_text=True)
     text = _utf8(F.col("kept"))
-    rows = docs.drop("text").join(cut.select(F.col("doc_id").alias("own"), text.alias("text")), F.col("doc_id").eqNullSafe(F.col("own"))).where("text <> ''")
+    cut = cut.select(F.col("doc_id").alias("_own"), F.col("tag").alias("_tag"), text.alias("_text")).dropDuplicates(["_own", "_tag"])
+    same = docs["doc_id"].eqNullSafe(cut["_own"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cut["_tag"])
+    rows = docs.join(cut, same).withColumn("text", F.col("_text")).where("text <> ''")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
@@ -47,9 +49,9 @@ def _utf8(column):
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("own"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("own"), (F.col("taken") / F.col("size")).cast("int").alias("_times")).groupBy("own").agg(F.max("_times").alias("_times"))
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["own"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

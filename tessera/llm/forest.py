@@ -114,7 +114,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 40, pa
             forest = Trees(x, mean, top, trees, seed)
             for q_ids, q in asked:
                 out = ([], [], [])
-                for qid, v, found in zip(q_ids, q, forest.candidates(q, int(part * len(x)))):
+                for qid, v, found in zip(q_ids, q, forest.candidates(q, max(int(part * len(x)), trees * (k + 1)))):
                     score = (x[found] * v).sum(1)
                     if len(found) > k + 1:
                         edge = np.partition(score, len(score) - k - 1)[len(score) - k - 1]

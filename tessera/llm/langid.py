@@ -76,7 +76,7 @@ def _count(train: DataFrame) -> DataFrame:
             for lang, parts in held.items():
                 grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
                 n = np.bincount(inverse, np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
@@ -129,6 +129,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """The input columns with lang_pred, score (the winner's part of all languages'
     corrected hits) and coverage (the winner's corrected hits by all n-grams)."""
     at_work = docs.sparkSession.sparkContext.broadcast(filters)  # bits entries a plane
+    docs = docs.drop("lang_pred", "score", "coverage")  # columns of these names are replaced
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
 
@@ -158,7 +159,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 score = np.where(known & (total > 0), top / np.maximum(total, 1e-300), 0.0)
                 lang = [f.langs[b] if k else "und" for b, k in zip(best, known)]
                 cover = np.where(known, np.minimum(top / np.maximum(n[:, 0], 1), 1.0), 0.0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang), pa.array(score), pa.array(cover)], names=[*names, "lang_pred", "score", "coverage"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], names=[*names, "lang_pred", "score", "coverage"])
 
     return docs.mapInArrow(run, schema)
 

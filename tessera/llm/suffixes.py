@@ -252,12 +252,12 @@ def _windows(texts: DataFrame, depth: int, core: int, buckets: int) -> DataFrame
 
 
 def _remove(texts: DataFrame, depth: int, core: int, with_text: bool) -> DataFrame:
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start: long, length: long>>" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start: long, length: long>>, tag long" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8_column(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
+            ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
             found = {c: batch.column(c).to_pylist() for c in ("spans", "windows")}
             rows = []
             for i, j in slices(offs, 1 << 20):
@@ -288,10 +288,10 @@ def _remove(texts: DataFrame, depth: int, core: int, with_text: bool) -> DataFra
                     kept = own[~cut].tobytes() if cut.any() else own.tobytes()
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
                     row = (None if ids[i + k] == _NULL_ID else ids[i + k], len(own), int(cut.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest())
-                    rows.append(row + ((kept, [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]) if with_text else ()))
-            cols = list(zip(*rows)) if rows else [[]] * (7 if with_text else 5)
-            kinds = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))] if with_text else [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds)])
+                    rows.append(row + ((kept, [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])], tags[i + k]) if with_text else ()))
+            cols = list(zip(*rows)) if rows else [[]] * (8 if with_text else 5)
+            kinds = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64()] if with_text else [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "tag"][: len(kinds)])
 
     return texts.mapInArrow(run, schema)
 
@@ -320,7 +320,8 @@ def _again(spans: Spans, h: np.ndarray, text: np.ndarray, depth: int) -> np.ndar
 
 def remove_repeats(docs: DataFrame, depth: int = 50, core: int = CORE, with_text: bool = False) -> DataFrame:
     """Each document without the bytes covered by a ``depth``-byte string that also starts
-    in a document with a smaller doc_id."""
+    in a document with a smaller doc_id. with_text adds what is left (kept), what went (spans)
+    and ``tag``, a hash of the input text that tells rows of one doc_id apart."""
     spark = docs.sparkSession
     core = min(core, depth)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8, 8)
