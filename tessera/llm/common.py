@@ -32,15 +32,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the tasks it ran, not the plan."""
+    Cuts the lineage: a lost executor costs the tasks it ran, not the plan. ``gather``
+    lets a task take several shuffle partitions, one after the other, so that small
+    tables become a few files for each core and not a file for each partition."""
     spark = df.sparkSession
+    if gather:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = new_path(spark, label)
     writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

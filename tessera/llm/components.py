@@ -16,14 +16,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     written table, and the one before is deleted."""
     spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, f"{label}-edges")
-    now = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
+    both = materialize(both, f"{label}-edges", gather=True)
+    now = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), label, gather=True)
     while True:
         beside = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("beside"))
         step = now.join(beside, now["node"] == beside["a"], "left").select("node", F.col("component").alias("was"), F.least("component", "beside").alias("component"))
         jump = now.select(F.col("node").alias("via"), F.col("component").alias("further"))
         new = step.join(jump, step["component"] == jump["via"], "left").select("node", "was", F.least("component", "further").alias("component"))
-        new = materialize(new, label)
+        new = materialize(new, label, gather=True)
         moved = new.where("component <> was").limit(1).count()
         for old in {f.rsplit("/", 1)[0] for f in now.inputFiles()}:
             remove(spark, old)

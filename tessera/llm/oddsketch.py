@@ -232,18 +232,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     """doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id with the same set)."""
     measured = materialize(_measure(docs, width), "sketches")
     some = measured.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sample").alias("sample"), F.first("sketch").alias("sketch")), "classes")
+    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sample").alias("sample"), F.first("sketch").alias("sketch")), "classes", gather=True)
     # where ids repeat a class may have several sets; it is linked if one of them is
     bands = _bands(classes)
     centre = F.min(F.struct(F.xxhash64(F.col("class"), F.pmod("bucket", F.lit(2))).alias("h"), F.col("class"))).alias("centre")
     shared = bands.groupBy("bucket").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("centre.class").alias("centre"))
-    members = materialize(bands.join(shared, "bucket"), "buckets")
+    members = materialize(bands.join(shared, "bucket"), "buckets", gather=True)
     pairs = members.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
     wanted = classes.join(members.select("class").distinct(), "class", "left_semi")
-    sets = materialize(_sets(docs, wanted, width), "sets")
-    links = materialize(_confirm(pairs, classes, sets, percent), "links")
+    sets = materialize(_sets(docs, wanted, width), "sets", gather=True)
+    links = materialize(_confirm(pairs, classes, sets, percent), "links", gather=True)
     known = components(links, "first")
-    more = materialize(_rest(members.select("bucket", "class").distinct(), known, classes, sets, percent, block), "more-links")
+    more = materialize(_rest(members.select("bucket", "class").distinct(), known, classes, sets, percent, block), "more-links", gather=True)
     if not more.isEmpty():
         known = components(links.unionByName(more), "all")
     found = classes.select("digest", "class").join(known, classes["class"] == known["node"], "left").select("digest", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
