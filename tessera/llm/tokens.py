@@ -24,6 +24,8 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _RUNS = re.compile(rf"[ ]?[{_LETTERS}]++(?=[ \t\n\x0b\x0c\r.,;:!?)]|$)|[ ]?[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
 _WORDS = re.compile(rf"[{_LETTERS}]++(?=[ \t\n\x0b\x0c\r.,;:!?)]|$)|[^ \t\n\x0b\x0c\r]+")
 _PLAIN = re.compile(rf"[ ]?[{_LETTERS}]+")
+_LATIN = re.compile(rf"[{_LETTERS}]+")
+_MARKS = set(".,;:!?)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -102,7 +104,18 @@ class Encoder:
             piece = piece.lower()
         return array("I", [t.id for t in self.model.tokenize(piece.translate(_AS_BYTES))]).tobytes()
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word that is one piece; for "runs" with the space before it."""
+        text = word.lower() if self.kind == "words" else f"\u0120{word}"
+        return array("I", [t.id for t in self.model.tokenize(text if word.isascii() else text.translate(_AS_BYTES))]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
+        # most chunks are a word of Latin letters, with or without a mark at its end
+        if chunk.isalpha() and _LATIN.fullmatch(chunk):
+            return self._letters(chunk)
+        head, mark = chunk[:-1], chunk[-1:]
+        if mark in _MARKS and head.isalpha() and _LATIN.fullmatch(head):
+            return self.chunks[head] + self.pieces[mark]
         return b"".join([self.pieces[p] for p in self.cut(f" {chunk}" if self.kind == "runs" else chunk)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
