@@ -26,7 +26,7 @@ UNION ALL SELECT 'implements', concat('file:', CAST(o_orderkey AS VARCHAR(20))),
 UNION ALL SELECT 'supports', concat('evidence:', CAST(s_suppkey AS VARCHAR(20))), concat('us:', CAST(s_suppkey * 3 AS VARCHAR(20))) FROM {{supplier}} WHERE s_suppkey % 4 <> {shift}
 UNION ALL SELECT 'supersedes', concat('adr:', CAST(p_partkey AS VARCHAR(20))), concat('adr:', CAST(p_partkey + 1 AS VARCHAR(20))) FROM {{part}} WHERE p_partkey % 9 = 0
 UNION ALL SELECT 'defines', concat('doc:', CAST(p_partkey AS VARCHAR(20))), concat('adr:', CAST(p_partkey AS VARCHAR(20))) FROM {{part}} WHERE p_partkey % 3 < 2
-UNION ALL SELECT DISTINCT 'mentions', concat('doc:', CAST(l_partkey AS VARCHAR(20))), concat('doc:', CAST(l_suppkey * 9 + 1 AS VARCHAR(20))) FROM {{lineitem}} WHERE l_orderkey % 20 = {shift}
+UNION ALL SELECT DISTINCT 'mentions', concat('doc:', CAST(l_partkey AS VARCHAR(20))), concat('doc:', CAST(l_suppkey * 9 + {1 + shift} AS VARCHAR(20))) FROM {{lineitem}} WHERE l_orderkey % 20 = {shift}
 UNION ALL SELECT 'defines', concat('doc:', CAST(c_custkey AS VARCHAR(20))), concat('us:', CAST(c_custkey AS VARCHAR(20))) FROM {{customer}} WHERE c_custkey < 400
 UNION ALL SELECT 'defines', concat('file:', CAST(o_orderkey AS VARCHAR(20))), concat('endpoint:', CAST(o_custkey AS VARCHAR(20))) FROM {{orders}} WHERE o_orderkey % 6 = {shift}
 UNION ALL SELECT DISTINCT 'describes', concat('doc:', CAST(o_custkey AS VARCHAR(20))), concat('concept:', CAST(o_custkey % 97 AS VARCHAR(20))) FROM {{orders}}
