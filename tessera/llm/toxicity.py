@@ -79,8 +79,11 @@ def _label_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def choose_features(train: DataFrame, features: int = 2000, least: int = 5) -> list[str]:
-    """Largest G2 first; ties by name. At most ``features`` rows reach the driver."""
+def choose_features(train: DataFrame, features: int = 1000, least: int = 5, least_g2: float = 60.0, least_odds: float = 3.0) -> list[str]:
+    """Largest G2 first; ties by name. At most ``features`` rows reach the driver.
+
+    ``least_g2`` is far above what chance gives the best of a million features, and a feature's
+    odds must differ between the labels by ``least_odds``: large corpora make weak features certain."""
     sums = train.agg(F.sum((F.col("toxic") == 0).cast("long")).alias("t0"), F.sum((F.col("toxic") != 0).cast("long")).alias("t1")).first()
     t0, t1 = sums["t0"] or 0, sums["t1"] or 0
     if not t0 or not t1:
@@ -88,7 +91,9 @@ def choose_features(train: DataFrame, features: int = 2000, least: int = 5) -> l
     part = lambda n, t, all_: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) * (t0 + t1) / ((F.col("n0") + F.col("n1")) * t))).otherwise(0.0)  # noqa: E731, ARG005
     out = lambda n, t: F.when(F.lit(t) - F.col(n) > 0, (t - F.col(n)) * F.log((t - F.col(n)) * (t0 + t1) / ((t0 + t1 - F.col("n0") - F.col("n1")) * t))).otherwise(0.0)
     g2 = 2 * (part("n0", t0, None) + part("n1", t1, None) + out("n0", t0) + out("n1", t1))
-    rows = _label_counts(train).where(F.col("n0") + F.col("n1") >= least).withColumn("g2", g2).where("g2 > 15")
+    half = lambda n, t: F.log((F.col(n) + 0.5) / (F.lit(t) - F.col(n) + 0.5))
+    odds = half("n1", t1) - half("n0", t0)
+    rows = _label_counts(train).where(F.col("n0") + F.col("n1") >= least).withColumn("g2", g2).where((F.col("g2") >= least_g2) & (F.abs(odds) >= math.log(least_odds)))
     return [r["feature"] for r in rows.orderBy(F.desc("g2"), "feature").limit(features).collect()]
 
 
@@ -131,6 +136,19 @@ def _vectors(docs: DataFrame, features: list[str], keep: list[str]) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
+def _document_frequencies(vectors: DataFrame, features: int) -> DataFrame:
+    """x, n: documents with each feature, counted within tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(features, np.int64)
+        for batch in batches:
+            count += np.bincount(np.asarray(batch.column("f").flatten(), np.int64), minlength=features)
+        x = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(count[x], pa.int64())], names=["x", "n"])
+
+    return vectors.select("f").mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+
+
 class Index:
     """Examples in blocks, with each feature's largest weight in a block."""
 
@@ -139,48 +157,47 @@ class Index:
         self.n = len(rows)
         self.clean, self.toxic, self.ids = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
         blocks = -(-self.n // BLOCK)
-        self.max = np.zeros((n_features, blocks))
-        self.at: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(blocks)]
-        for b in range(blocks):
-            lists: dict[int, tuple[list[int], list[float]]] = {}
-            for k, (f, w, *_) in enumerate(rows[b * BLOCK : (b + 1) * BLOCK]):
-                for x, y in zip(f, w):
-                    lists.setdefault(x, ([], []))[0].append(k)
-                    lists[x][1].append(y)
-            for x, (k, y) in lists.items():
-                self.at[b][x] = np.array(k), np.array(y)
-                self.max[x, b] = max(y)
+        # postings by feature and block, dense within a block: most blocks are cut off by their bounds
+        self.weights = np.zeros((n_features, blocks, BLOCK))
+        for k, (f, w, *_) in enumerate(rows):
+            self.weights[f, k // BLOCK, k % BLOCK] = w
+        self.max = self.weights.max(2, initial=0.0)
 
     def nearest(self, f: list[int], w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a feature in common; ties to the first."""
+        """Numbers and cosines of the k nearest examples with a feature in common; ties to the first.
+
+        Blocks are scored by falling bounds, twice as many at each turn, until the k-th best
+        similarity is above the next bound."""
         bounds = w @ self.max[f]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: np.count_nonzero(bounds > 0)]
         best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_s) >= k and bounds[b] < best_s[k - 1]:
-                break
-            score = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            lists = self.at[b]
-            for x, y in zip(f, w):
-                if x in lists:
-                    score[lists[x][0]] += y * lists[x][1]
-            own = np.flatnonzero(score > 0)
-            best_s, best_i = np.concatenate([best_s, score[own]]), np.concatenate([best_i, own + b * BLOCK])
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[order], best_i[order]
+        at, many = 0, 2
+        while at < len(order) and not (len(best_s) >= k and bounds[order[at]] < best_s[k - 1]):
+            some = order[at : at + many]
+            s = np.tensordot(w, self.weights[np.ix_(f, some)], 1).ravel()
+            i = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            own = np.flatnonzero(s > 0)
+            best_s, best_i = np.concatenate([best_s, s[own]]), np.concatenate([best_i, i[own]])
+            top = np.lexsort((best_i, -best_s))[:k]
+            best_s, best_i = best_s[top], best_i[top]
+            at += many
+            many *= 2
         return best_i, best_s
 
 
-def score(docs: DataFrame, labels: DataFrame, learn, features: int = 2000, examples: int = 4000, k: int = 15, prior_weight: float = 1.0, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn, features: int = 1000, examples: int = 2000, k: int = 15, prior_weight: float = 1.0, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted, evidence. ``learn``: the condition on doc_id for rows that may teach."""
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    train = materialize(base.where(learn).join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    # one plan at every size: labels that fit a broadcast today don't in a larger table
+    train = materialize(base.where(learn).hint("merge").join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     chosen = choose_features(train, features)
     keep = ["doc_id"]
     vectors = materialize(_vectors(base, chosen, keep), "features")
     total = vectors.count()
-    df = {r["x"]: r["n"] for r in vectors.select(F.explode("f").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each feature at most
+    df = {r["x"]: r["n"] for r in _document_frequencies(vectors, len(chosen)).collect()}  # a row for each feature at most
     idf = np.array([math.log(1 + total / df.get(x, total)) if total else 0.0 for x in range(len(chosen))])
 
     taught = _vectors(train, chosen, ["doc_id", "toxic", "text"]).withColumn("order", F.xxhash64("text")).drop("text")
