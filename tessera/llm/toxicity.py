@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples (operator 8).
 
-Features are words and the beginnings of words (4 to 6 letters), lower-cased. The
-ones that tell labels apart in the training documents (largest likelihood ratio,
-``features`` at most) make the space; weights are (1 + ln tf) * ln(1 + docs / df) with
+Features are words and the beginnings of words (4 to 6 letters), lower-cased. Of those
+in ``least`` training documents the ``features`` with the largest likelihood ratio make
+the space, whatever their ratio is; weights are (1 + ln tf) * ln(1 + docs / df) with
 document frequencies over all documents. Examples are at most ``examples`` training
 documents of each label that have a feature, chosen by a hash of the text; equal
 vectors are one example with counts of both labels.
@@ -79,11 +79,10 @@ def _label_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def choose_features(train: DataFrame, features: int = 1000, least: int = 5, least_g2: float = 60.0, least_odds: float = 3.0) -> list[str]:
+def choose_features(train: DataFrame, features: int = 2000, least: int = 5) -> list[str]:
     """Largest G2 first; ties by name. At most ``features`` rows reach the driver.
 
-    ``least_g2`` is far above what chance gives the best of a million features, and a feature's
-    odds must differ between the labels by ``least_odds``: large corpora make weak features certain."""
+    Only the order of G2 counts: it grows with the rows, so no threshold on it fits every size."""
     sums = train.agg(F.sum((F.col("toxic") == 0).cast("long")).alias("t0"), F.sum((F.col("toxic") != 0).cast("long")).alias("t1")).first()
     t0, t1 = sums["t0"] or 0, sums["t1"] or 0
     if not t0 or not t1:
@@ -91,9 +90,7 @@ def choose_features(train: DataFrame, features: int = 1000, least: int = 5, leas
     part = lambda n, t, all_: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) * (t0 + t1) / ((F.col("n0") + F.col("n1")) * t))).otherwise(0.0)  # noqa: E731, ARG005
     out = lambda n, t: F.when(F.lit(t) - F.col(n) > 0, (t - F.col(n)) * F.log((t - F.col(n)) * (t0 + t1) / ((t0 + t1 - F.col("n0") - F.col("n1")) * t))).otherwise(0.0)
     g2 = 2 * (part("n0", t0, None) + part("n1", t1, None) + out("n0", t0) + out("n1", t1))
-    half = lambda n, t: F.log((F.col(n) + 0.5) / (F.lit(t) - F.col(n) + 0.5))
-    odds = half("n1", t1) - half("n0", t0)
-    rows = _label_counts(train).where(F.col("n0") + F.col("n1") >= least).withColumn("g2", g2).where((F.col("g2") >= least_g2) & (F.abs(odds) >= math.log(least_odds)))
+    rows = _label_counts(train).where(F.col("n0") + F.col("n1") >= least).withColumn("g2", g2)
     return [r["feature"] for r in rows.orderBy(F.desc("g2"), "feature").limit(features).collect()]
 
 
@@ -110,12 +107,12 @@ class Space:
         if len(known) > 400_000:
             for w in list(islice(known, 200_000, None)):
                 del known[w]
-        for w in _WORD.findall(text.lower()):
+        for w, n in Counter(_WORD.findall(text.lower())).items():
             f = known.get(w)
             if f is None:
                 known[w] = f = tuple(self.index[x] for x in _features(w) if x in self.index)
-            if f:
-                out.update(f)
+            for x in f:
+                out[x] += n
         return out
 
 
@@ -156,37 +153,57 @@ class Index:
         rows = sorted(rows, key=lambda r: (r[0], r[1], r[4]))  # alike examples share blocks, so maxima are tight
         self.n = len(rows)
         self.clean, self.toxic, self.ids = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
-        blocks = -(-self.n // BLOCK)
-        # postings by feature and block, dense within a block: most blocks are cut off by their bounds
-        self.weights = np.zeros((n_features, blocks, BLOCK))
-        for k, (f, w, *_) in enumerate(rows):
-            self.weights[f, k // BLOCK, k % BLOCK] = w
-        self.max = self.weights.max(2, initial=0.0)
+        self.blocks = -(-self.n // BLOCK)
+        # postings by feature, then example; start says where those of a feature and block begin
+        sizes = [len(r[0]) for r in rows]
+        feature = np.fromiter((x for r in rows for x in r[0]), np.int64, sum(sizes))
+        weight = np.fromiter((y for r in rows for y in r[1]), float, sum(sizes))
+        example = np.repeat(np.arange(self.n), sizes)
+        by = np.lexsort((example, feature))
+        self.example, self.weight = example[by], weight[by]
+        cell = feature[by] * self.blocks + self.example // BLOCK
+        self.start = np.searchsorted(cell, np.arange(n_features * self.blocks + 1))
+        self.max = np.zeros(n_features * self.blocks)
+        np.maximum.at(self.max, cell, self.weight)
+        self.max = self.max.reshape(n_features, self.blocks)
+
+    def _cosines(self, f: np.ndarray, w: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks ``some`` with a feature in common, and their cosines."""
+        cells = (f[:, None] * self.blocks + some).ravel()
+        start = self.start[cells]
+        n = self.start[cells + 1] - start
+        at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+        s = np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(w, len(some)), n), self.n)
+        own = np.flatnonzero(s > 0)
+        return own, s[own]
 
     def nearest(self, f: list[int], w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a feature in common; ties to the first.
 
-        Blocks are scored by falling bounds, twice as many at each turn, until the k-th best
-        similarity is above the next bound."""
+        Blocks are scored by falling bounds, more at each turn, until k are found; then all whose
+        bound reaches the k-th best similarity."""
+        f = np.asarray(f)
         bounds = w @ self.max[f]
         order = np.argsort(-bounds, kind="stable")
         order = order[: np.count_nonzero(bounds > 0)]
         best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
         at, many = 0, 2
         while at < len(order) and not (len(best_s) >= k and bounds[order[at]] < best_s[k - 1]):
-            some = order[at : at + many]
-            s = np.tensordot(w, self.weights[np.ix_(f, some)], 1).ravel()
-            i = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = np.flatnonzero(s > 0)
-            best_s, best_i = np.concatenate([best_s, s[own]]), np.concatenate([best_i, i[own]])
+            if len(best_s) >= k:
+                many = np.count_nonzero(bounds[order[at:]] >= best_s[k - 1])
+            i, s = self._cosines(f, w, order[at : at + many])
+            best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, i])
+            if len(best_s) > k:
+                own = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+                best_s, best_i = best_s[own], best_i[own]
             top = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[top], best_i[top]
             at += many
-            many *= 2
+            many *= 4
         return best_i, best_s
 
 
-def score(docs: DataFrame, labels: DataFrame, learn, features: int = 1000, examples: int = 2000, k: int = 15, prior_weight: float = 1.0, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn, features: int = 2000, examples: int = 4000, k: int = 15, prior_weight: float = 1.0, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted, evidence. ``learn``: the condition on doc_id for rows that may teach."""
     spark = docs.sparkSession
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))

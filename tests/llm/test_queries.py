@@ -152,6 +152,15 @@ def test_toxicity(spark, docs):
     assert np.mean([a == b for a, b in held]) > 0.9
 
 
+def test_toxicity_recall_at_small_sizes(spark):
+    rows = queries.op8(spark, "/root/testdata/sf0.01").collect()
+    toxic = {r["doc_id"] for r in queries.table(spark, "/root/testdata/sf0.01", "labels").where("toxic = 1").collect()}
+    held = [r["predicted"] for r in rows if r["held_out"] and r["doc_id"] in toxic]
+    assert len(held) > 10 and np.mean(held) >= 0.7
+    for where, found in ((DIR, queries.op8(spark, DIR).collect()), ("/root/testdata/sf0.01", rows)):
+        assert np.mean([len(r["evidence"]) > 0 for r in found]) > 0.98, where
+
+
 def test_near_duplicates(spark, docs):
     for where in (DIR, "/root/testdata/sf0.01"):
         rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, where, "documents").select("doc_id", "text").collect()]
