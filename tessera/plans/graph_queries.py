@@ -240,6 +240,13 @@ def callers_khop(spark, d):
     return T.hops(starts, calls, 2)
 
 
+@query("callers_khop_all", None)
+def callers_khop_all(spark, d):
+    """Callers of every callee, over the calls of the whole table; tests/test_graph.py has a brute-force version."""
+    calls = frame(spark, d, "calls_all").select(F.col("to_func").alias("src"), F.col("from_func").alias("dst"))
+    return T.hops(calls.select(F.col("src").alias("node")).distinct(), calls, 2)
+
+
 @query("dead_code", "SELECT name FROM {defs} WHERE NOT method AND NOT regexp_matches(name, '^[A-Z]') AND name NOT IN (SELECT to_func FROM {calls}) ORDER BY file, line, name LIMIT 50")
 def dead_code(spark, d):
     from ..operators.golang import dead_code as unused

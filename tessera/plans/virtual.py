@@ -60,6 +60,8 @@ VIRTUAL = {
     # page addresses as changed paths
     "urls": "SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '') AS path FROM {pages}",
     "calls": "SELECT DISTINCT concat('f', CAST(l_suppkey % 97 AS VARCHAR(20))) AS from_func, concat('f', CAST(l_partkey % 1999 AS VARCHAR(20))) AS to_func FROM {lineitem} WHERE l_orderkey % 60 = 0 AND l_suppkey % 97 <> l_partkey % 1999",
+    # the calls above, from all of lineitem
+    "calls_all": "SELECT DISTINCT concat('f', CAST(l_suppkey % 97 AS VARCHAR(20))) AS from_func, concat('f', CAST(l_partkey % 1999 AS VARCHAR(20))) AS to_func FROM {lineitem} WHERE l_suppkey % 97 <> l_partkey % 1999",
     "defs": "SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'F' ELSE 'f' END, CAST(p_partkey AS VARCHAR(20))) AS name, p_size % 5 = 0 AS method, concat(p_brand, '.go') AS file, CAST(p_partkey AS INT) AS line FROM {part}",
     "arcs": "SELECT DISTINCT 'depends_on' AS kind, concat('file:', p_brand, '/', CAST(p_size AS VARCHAR(20)), '.go') AS src, concat('dir:', substring(p_type, 1, 3)) AS dst FROM {part} UNION ALL SELECT DISTINCT 'depends_on', concat('file:', substring(p_type, 1, 3), '/', CAST(p_size AS VARCHAR(20)), '.go'), concat('dir:', p_brand) FROM {part} WHERE p_partkey % 11 = 0",
     "runs": "SELECT CAST(l.doc_id AS VARCHAR(20)) AS run_id, concat('ADV-', CAST(l.doc_id % 23 AS VARCHAR(20))) AS mutation_id, CASE WHEN l.toxic = 1 THEN 'm1' ELSE 'm2' END AS expected1, concat('m', CAST(l.doc_id % 4 AS VARCHAR(20))) AS expected2, CASE WHEN l.quality = 1 THEN 'm1' ELSE 'm3' END AS actual1, concat('m', CAST(l.doc_id % 3 AS VARCHAR(20))) AS actual2, CASE WHEN l.doc_id % 31 = 0 THEN 1 ELSE 0 END AS skip, coalesce(d.source, 'none') AS category, d.lang AS lang FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",

@@ -222,3 +222,23 @@ def test_git_source(spark, tmp_path):
     assert {r["path"]: r["body"] for r in G.bodies(spark, str(tmp_path), G.tracked(spark, str(tmp_path))).collect()} == {"a.txt": "two\n"}
     assert G.commits(spark, str(tmp_path)).count() == 1
     assert G.git("/nowhere", "status") == ""
+
+
+def test_callers_of_every_callee(spark):
+    from tessera import catalog
+
+    d = "/root/testdata/sf0.001"
+    callers = {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey").collect():
+        a, b = r["l_suppkey"] % 97, r["l_partkey"] % 1999
+        if a != b:
+            callers.setdefault(f"f{b}", set()).add(f"f{a}")
+    want = {}
+    for f, near in callers.items():
+        for g in near:
+            for h in callers.get(g, ()):
+                want[f, h] = 2
+        want.update({(f, g): 1 for g in near})
+    rows = catalog.queries()["callers_khop_all"](spark, d).collect()
+    assert {(r["node"], r["target"]): r["level"] for r in rows} == want and len(rows) == len(want)
+    assert {r["node"] for r in rows} == set(callers) and len(callers) > 40
