@@ -285,12 +285,12 @@ def weighted_pick(spark, d):
     return pick(*_now(spark, d), 0.37)
 
 
-def _report(spark, d) -> DataFrame:
+def _report(spark, d, now=_now, base=_base) -> DataFrame:
     """Scores of the virtual graph, side by side."""
     from ..operators.storage import keep
 
-    nodes, edges = (keep(x, "graph") for x in _now(spark, d))
-    base_nodes, base_edges = (keep(x, "base") for x in _base(spark, d))
+    nodes, edges = (keep(x, "graph") for x in now(spark, d))
+    base_nodes, base_edges = (keep(x, "base") for x in base(spark, d))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     concepts = M.support_state(nodes, M.supported(nodes, edges), "concept")
     loss = M.loss(concepts).select(F.col("total").alias("concepts"), F.round("score", 6).alias("path_loss_score"), F.col("convention").alias("path_loss_convention"))
@@ -303,10 +303,49 @@ def _report(spark, d) -> DataFrame:
     return loss
 
 
+def _judged(report: DataFrame) -> DataFrame:
+    return V.judge(report).select("concepts", "path_loss_score", "path_loss_convention", "blast_score", "neighborhood_score", "broken_chains", "stale_decisions", "verdict", F.array_join("active_meters", ",").alias("active"), F.array_join("silenced_meters", ",").alias("silenced"))
+
+
 @query("flagship", None)
 def flagship(spark, d):
     """Path loss, blast radius and the verdict."""
-    return V.judge(_report(spark, d)).select("concepts", "path_loss_score", "path_loss_convention", "blast_score", "neighborhood_score", "broken_chains", "stale_decisions", "verdict", F.array_join("active_meters", ",").alias("active"), F.array_join("silenced_meters", ",").alias("silenced"))
+    return _judged(_report(spark, d))
+
+
+# the same over edges of the whole tables
+
+
+def _now_all(spark, d):
+    return frame(spark, d, "nodes_current"), frame(spark, d, "edges_current_all")
+
+
+def _base_all(spark, d):
+    return frame(spark, d, "nodes_base"), frame(spark, d, "edges_base_all")
+
+
+def _loss_all(spark, d, kind: str) -> DataFrame:
+    nodes, edges = _now_all(spark, d)
+    return M.support_state(nodes, M.supported(nodes, edges), kind)
+
+
+WHOLE = {
+    "graph_diff": lambda spark, d: G.diff_edges(_base_all(spark, d)[1], _now_all(spark, d)[1]),
+    "degree": lambda spark, d: G.degree(_now_all(spark, d)[1]),
+    "edge_counts_by_kind": lambda spark, d: G.counts(_now_all(spark, d)[1]),
+    "reachability": lambda spark, d: M.supported(*_now_all(spark, d)),
+    "path_loss": lambda spark, d: _loss_all(spark, d, "concept"),
+    "path_loss_score": lambda spark, d: M.loss(_loss_all(spark, d, "concept")).withColumn("score", F.round("score", 6)),
+    "claim_support": lambda spark, d: _loss_all(spark, d, "claim"),
+    "blast_radius": lambda spark, d: M.blast(_base_all(spark, d)[1], _now_all(spark, d)[1])[1],
+    "blast_top5": lambda spark, d: M.blast_top(M.blast(_base_all(spark, d)[1], _now_all(spark, d)[1])[0]),
+    "flagship": lambda spark, d: _judged(_report(spark, d, _now_all, _base_all)),
+}
+_THIN, _ALL = ([duckdb_sql(f"{{edges_{side}{which}}}") for side in ("current", "base")] for which in ("", "_all"))
+for _name, _run in WHOLE.items():
+    QUERIES[f"{_name}_all"] = _run
+    if _name in SQL:
+        SQL[f"{_name}_all"] = SQL[_name].replace(_THIN[0], _ALL[0]).replace(_THIN[1], _ALL[1])
 
 
 FACTS = "SELECT p_partkey AS id, p_size % 3 = 0 AS base_available, p_size % 7 - 5 AS broken_rules, p_size % 2 AS stories, p_size % 5 - 3 AS uncovered_stories, p_size % 11 - 9 AS contradictions, CAST(p_size % 9 AS DOUBLE) / 3 AS neighborhood_score, p_size % 6 AS concepts, CAST(p_size % 10 AS DOUBLE) / 10 AS path_loss_score, p_partkey % 3 = 1 AS path_loss_convention, p_partkey % 13 - 11 AS newly_orphaned_concepts, p_partkey % 23 AS blast_score, p_partkey % 31 - 29 AS stale_decisions, p_partkey % 17 - 15 AS cycles, p_partkey % 8 - 6 AS broken_links, p_partkey % 5 - 3 AS dangling_imports FROM {part}"

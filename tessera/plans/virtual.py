@@ -13,12 +13,17 @@ from .virtual_repo import REPO
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def _edges(shift: int) -> str:
+def _edges(shift: int, whole: bool = False) -> str:
+    """``whole``: edges of all lineitem on the current side, and of all but a small residue on the base side."""
     keep = "0" if not shift else "0, 1"
+    parts, needs, docs, doc_shift = f"l_orderkey % 50 IN ({keep}) OR l_orderkey % 35 = 5", f"l_orderkey % 40 = {shift}", f"l_orderkey % 20 = {shift}", shift
+    if whole:
+        parts = needs = docs = "l_orderkey % 50 <> 1" if shift else "l_orderkey IS NOT NULL"
+        doc_shift = 0
     return f"""
 SELECT 'defines' AS kind, concat('file:', CAST(o_orderkey AS VARCHAR(20))) AS src, concat('concept:', CAST(o_custkey AS VARCHAR(20))) AS dst FROM {{orders}} WHERE o_orderkey % 5 = {shift}
-UNION ALL SELECT DISTINCT 'mentions', concat('file:', CAST(l_orderkey AS VARCHAR(20))), concat('part:', CAST(l_partkey AS VARCHAR(20))) FROM {{lineitem}} WHERE l_orderkey % 50 IN ({keep}) OR l_orderkey % 35 = 5
-UNION ALL SELECT DISTINCT 'depends_on', concat('part:', CAST(l_partkey AS VARCHAR(20))), concat('supplier:', CAST(l_suppkey AS VARCHAR(20))) FROM {{lineitem}} WHERE l_orderkey % 40 = {shift}
+UNION ALL SELECT DISTINCT 'mentions', concat('file:', CAST(l_orderkey AS VARCHAR(20))), concat('part:', CAST(l_partkey AS VARCHAR(20))) FROM {{lineitem}} WHERE {parts}
+UNION ALL SELECT DISTINCT 'depends_on', concat('part:', CAST(l_partkey AS VARCHAR(20))), concat('supplier:', CAST(l_suppkey AS VARCHAR(20))) FROM {{lineitem}} WHERE {needs}
 UNION ALL SELECT 'contains', concat('dir:n', CAST(c_nationkey AS VARCHAR(20))), concat('concept:', CAST(c_custkey AS VARCHAR(20))) FROM {{customer}}
 UNION ALL SELECT 'contains', concat('dir:r', CAST(n_regionkey AS VARCHAR(20))), concat('dir:n', CAST(n_nationkey AS VARCHAR(20))) FROM {{nation}}
 UNION ALL SELECT 'verifies', concat('test:', CAST(o_orderkey + 1 AS VARCHAR(20))), concat('file:', CAST(o_orderkey AS VARCHAR(20))) FROM {{orders}} WHERE o_orderkey % 7 = {3 * shift}
@@ -26,7 +31,7 @@ UNION ALL SELECT 'implements', concat('file:', CAST(o_orderkey AS VARCHAR(20))),
 UNION ALL SELECT 'supports', concat('evidence:', CAST(s_suppkey AS VARCHAR(20))), concat('us:', CAST(s_suppkey * 3 AS VARCHAR(20))) FROM {{supplier}} WHERE s_suppkey % 4 <> {shift}
 UNION ALL SELECT 'supersedes', concat('adr:', CAST(p_partkey AS VARCHAR(20))), concat('adr:', CAST(p_partkey + 1 AS VARCHAR(20))) FROM {{part}} WHERE p_partkey % 9 = 0
 UNION ALL SELECT 'defines', concat('doc:', CAST(p_partkey AS VARCHAR(20))), concat('adr:', CAST(p_partkey AS VARCHAR(20))) FROM {{part}} WHERE p_partkey % 3 < 2
-UNION ALL SELECT DISTINCT 'mentions', concat('doc:', CAST(l_partkey AS VARCHAR(20))), concat('doc:', CAST(l_suppkey * 9 + {1 + shift} AS VARCHAR(20))) FROM {{lineitem}} WHERE l_orderkey % 20 = {shift}
+UNION ALL SELECT DISTINCT 'mentions', concat('doc:', CAST(l_partkey AS VARCHAR(20))), concat('doc:', CAST(l_suppkey * 9 + {1 + doc_shift} AS VARCHAR(20))) FROM {{lineitem}} WHERE {docs}
 UNION ALL SELECT 'defines', concat('doc:', CAST(c_custkey AS VARCHAR(20))), concat('us:', CAST(c_custkey AS VARCHAR(20))) FROM {{customer}} WHERE c_custkey < 400
 UNION ALL SELECT 'defines', concat('file:', CAST(o_orderkey AS VARCHAR(20))), concat('endpoint:', CAST(o_custkey AS VARCHAR(20))) FROM {{orders}} WHERE o_orderkey % 6 = {shift}
 UNION ALL SELECT DISTINCT 'describes', concat('doc:', CAST(o_custkey AS VARCHAR(20))), concat('concept:', CAST(o_custkey % 97 AS VARCHAR(20))) FROM {{orders}}
@@ -49,6 +54,8 @@ UNION ALL SELECT concat('claim:', CAST(p_partkey AS VARCHAR(20))), 'claim', p_na
 VIRTUAL = {
     "edges_current": _edges(0),
     "edges_base": _edges(1),
+    "edges_current_all": _edges(0, whole=True),
+    "edges_base_all": _edges(1, whole=True),
     "nodes_current": _nodes(0),
     "nodes_base": _nodes(1),
     # documents as files: blanks added to some, a word to others, some missing on either side

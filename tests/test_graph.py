@@ -242,3 +242,26 @@ def test_callers_of_every_callee(spark):
     rows = catalog.queries()["callers_khop_all"](spark, d).collect()
     assert {(r["node"], r["target"]): r["level"] for r in rows} == want and len(rows) == len(want)
     assert {r["node"] for r in rows} == set(callers) and len(callers) > 40
+
+
+def test_graph_queries_over_all_of_lineitem(spark):
+    import duckdb
+    from tessera import catalog
+    from tessera.plans.graph_queries import WHOLE
+
+    d = "/root/testdata/sf0.001"
+    run, sql, db = catalog.queries(), catalog.oracle_sql(), duckdb.connect()
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    for name in WHOLE:
+        if f"{name}_all" in sql:
+            got = run[f"{name}_all"](spark, d)
+            want = db.execute(sql[f"{name}_all"])
+            columns = [c[0] for c in want.description]
+            assert order(got.select(*columns).collect()) == order(want.fetchall()), name
+    kinds = {r["kind"]: r["n"] for r in run["edge_counts_by_kind_all"](spark, d).collect()}
+    assert kinds["depends_on"] == db.execute("SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)").fetchone()[0]
+    changes = {r["change"] for r in run["graph_diff_all"](spark, d).select("change").distinct().collect()}
+    assert changes == {"added", "removed"}
+    assert run["flagship_all"](spark, d).count() == 1
