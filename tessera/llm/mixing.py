@@ -22,9 +22,13 @@ number must stay below ``max_sources``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -69,6 +73,19 @@ def split(quotas: np.ndarray, shards: int, seed: int, path: int = 1) -> np.ndarr
     return np.concatenate([split(mine, left, seed, 2 * path), split(quotas - mine, shards - left, seed, 2 * path + 1)])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pick: 1 where a row's size fits in what the rows before left of its source's room. Rows of a source follow each other."""
+    left: dict = {}
+    for batch in batches:
+        pick = []
+        for source, size, room in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "room"))):
+            if source not in left:
+                left = {source: room}
+            pick.append(int(size <= left[source]))
+            left[source] -= size * pick[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pick, pa.int32())], names=[*batch.schema.names, "pick"])
+
+
 def mix(docs: DataFrame, seed: int = 17, block_docs: int = 256, shards: int = 16, max_sources: int = 1_000_000) -> DataFrame:
     """doc_id, size, source_size, target, taken, and where the copies go: shard_1, shard_2 (-1: none), position."""
     spark = docs.sparkSession
@@ -115,9 +132,10 @@ def mix(docs: DataFrame, seed: int = 17, block_docs: int = 256, shards: int = 16
     )
     placed = spread.join(where, same(spread, where) & (spread["block"] == where["block"])).select(spread["source"], "doc_id", "size", "source_size", "target", "whole", "state", "room", "shard_whole", "shard_drawn", spread["block"])
 
-    # of the block at the edge, documents in their order while they fit (at most one block a source)
-    edge = Window.partitionBy("source").orderBy(h(F.col("doc_id"), "edge"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    fits = placed.where("state = 1").withColumn("pick", (F.sum("size").over(edge) <= F.col("room")).cast("int"))
+    # of the block at the edge, in their order the documents that still fit (at most one block a source)
+    edge = placed.where("state = 1").withColumn("order", h(F.col("doc_id"), "edge"))
+    fits = edge.repartition("source").sortWithinPartitions("source", "order", "doc_id", "size").drop("order")
+    fits = fits.mapInArrow(_fit, T.StructType([*fits.schema.fields, T.StructField("pick", T.IntegerType())]))
     rest = placed.where("state <> 1").withColumn("pick", (F.col("state") == 2).cast("int"))
     both = rest.unionByName(fits)
     some = F.col("size") > 0

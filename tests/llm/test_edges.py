@@ -152,6 +152,17 @@ def test_crc_of_a_concatenation():
         assert got[0] == zlib.crc32(a + b)
 
 
+def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
+    docs = spark.createDataFrame([(i, "w " * (3000 if i % 10 == 0 else 3 + i % 5), s) for s in ("a", "b", "c") for i in range(60)], "doc_id long, text string, source string")
+    for seed in range(4):
+        rows = mixing.mix(docs, seed=seed).collect()
+        for s in ("b", "c"):
+            own = [r for r in rows if r["source"] == s]
+            short = own[0]["target"] - sum(r["taken"] for r in own)
+            left = [r["size"] for r in own if r["taken"] == r["size"] * (own[0]["target"] >= own[0]["source_size"])]
+            assert short >= 0 and all(x > short for x in left), (seed, s)
+
+
 def test_encoder_equals_the_library():
     draw = random.Random(2)
     parts = ["word", " ", "  ", "\n", "\t", "É", "ß", "it's", "'S", "12", "a1", ",", "...", "日本", "é", " ", "　", "<|endoftext|>", "x,y", "ª", "µ", "İ", "\x01", "\r\n", "ÿ."]
