@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -16,11 +17,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) a temporary folder is made, and removed when Python exits."""
+    """The folder of ``spark.checkpoint.dir``. Only on one machine (tests), where that is
+    unset, a temporary folder is made, and removed when Python exits."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not (spark.sparkContext.master or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -38,15 +41,50 @@ def materialize(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
     Cuts the lineage: a lost executor costs the tasks it ran, not the plan. ``gather``
     lets a task take several shuffle partitions, one after the other, so that small
     tables become a few files for each core and not a file for each partition."""
+    return written(df, new_path(df.sparkSession, label), gather)
+
+
+def written(df: DataFrame, path: str, gather: bool = False) -> DataFrame:
     spark = df.sparkSession
     if gather:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    path = new_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The intermediate tables of one operator run; those that are still there go at the end.
+
+    What the operator returns must not read them: write it with ``materialize`` before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def table(self, df: DataFrame, label: str, gather: bool = False) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.paths[label] = path
+        return written(df, path, gather)
+
+    def drop(self, *labels: str) -> None:
+        """Delete tables that are no longer read, and the shuffle files of plans that are over."""
+        for label in labels:
+            remove(self.spark, self.paths.pop(label))
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver has collected the plans that made them, which it
+    otherwise does when its own memory is short, whatever the disks hold."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder on whatever file system holds it."""
     jvm = spark.sparkContext._jvm
