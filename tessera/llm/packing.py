@@ -36,23 +36,23 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, with_id
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         task, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(ids), 512):
-                rows = []
-                for doc, blob in zip(ids[lo : lo + 512], enc.encode(texts[lo : lo + 512])):
-                    blob += end
-                    n = len(blob) // 4
-                    for at in range(0, n, limit):
-                        piece = blob[4 * at : 4 * (at + limit)]
-                        size = len(piece) // 4
-                        rows.append((doc, at, size, zlib.crc32(piece), n, task, int(seen[size])) + ((piece,) if with_ids else ()))
-                        seen[size] += 1
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(c, pa.binary()) for c in cols[7:]], names=[x.split()[0] for x in schema.split(", ")])
+            for first, rows, ids, at in enc.encode_column(batch.column("text"), end_id):
+                n = np.diff(at)
+                pieces = -(-n // limit)
+                doc = np.repeat(np.arange(rows), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * limit
+                size = np.minimum(n[doc] - start, limit)
+                place = np.empty(len(doc), np.int64)
+                for k, x in enumerate(size.tolist()):
+                    place[k] = seen[x]
+                    seen[x] += 1
+                raw = memoryview(ids.view(np.uint8))
+                blobs = [raw[4 * a : 4 * (a + x)] for a, x in zip((at[doc] + start).tolist(), size.tolist())]
+                cols = [batch.column("doc_id").slice(first, rows).take(pa.array(doc)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in blobs], pa.int64()), pa.array(n[doc]), pa.array(np.full(len(doc), task, np.int64)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array([x.tobytes() for x in blobs], pa.binary())] if with_ids else []), names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
@@ -126,5 +126,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limit: int = 4096, wi
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    ranked = pieces.join(starts, ["task", "length"]).withColumn("rank", F.col("first") + F.col("place"))
+    # a row for each task and length: small in bytes on disk, but it grows with the tasks, so no broadcast
+    ranked = pieces.hint("merge").join(starts, ["task", "length"]).withColumn("rank", F.col("first") + F.col("place"))
     return ranked.select("rank", *[c for c in names if c not in ("sequence_id", "offset")]).mapInArrow(run, schema)
