@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,11 +166,16 @@ def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
 
 def test_encoder_equals_the_library():
     draw = random.Random(2)
-    parts = ["word", " ", "  ", "\n", "\t", "É", "ß", "it's", "'S", "12", "a1", ",", "...", "日本", "é", " ", "　", "<|endoftext|>", "x,y", "ª", "µ", "İ", "\x01", "\r\n", "ÿ."]
+    parts = ["word", " ", "  ", "\n", "\t", "É", "ß", "it's", "'S", "12", "a1", ",", "...", "日本", "é", " ", "　", "<|endoftext|>", "x,y", "ª", "µ", "İ", "\x01", "\r\n", "ÿ.", "×.", "÷,", ".", " 's", "\n\n"]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(600)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        enc = Encoder(queries.tokenizer(name), keep=50)
-        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for bits, step in ((4, 40), (4, 600), (21, 600)):  # a table that is too small for a slice, and one that isn't
+            enc = Encoder(queries.tokenizer(name), most_bits=bits)
+            got = []
+            for lo in range(0, len(texts), step):
+                for _, rows, ids, at in enc.encode_column(pa.array(texts[lo : lo + step]), 2, 300):
+                    got += [ids[at[k] : at[k + 1]].tolist() for k in range(rows)]
+            assert got == [[*e.ids, 2] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_toxicity(spark, odd, empty):
@@ -235,7 +241,7 @@ def test_repeats(spark, odd, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("letters,depth,core", [("ab", 8, 4), ("abcdefgh", 10, 5), ("aé ", 9, 9)])
+@pytest.mark.parametrize("letters,depth,core", [("ab", 8, 4), ("abcdefgh", 30, 5), ("aé ", 9, 9)])
 def test_repeats_at_random(spark, letters, depth, core):
     draw = random.Random(depth)
     rows = []
@@ -248,5 +254,49 @@ def test_repeats_at_random(spark, letters, depth, core):
         rows.append((d, text))
     draw.shuffle(rows)
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(table, depth, core).collect()}
-    assert got == brute.repeats(rows, depth)
+    for more in ({}, {"hot": 1, "hold": 30}):  # nearly every core counts as hot
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(table, depth, core, **more).collect()}
+        assert got == brute.repeats(rows, depth)
+
+
+def test_rows_without_ids_are_compared(spark):
+    words = [f"k{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:59], "z"])), (None, " ".join(words)), (None, "quite another text of some words here"), (4, " ".join(["y", *words[::-1]])), (None, " ".join(words[::-1]))]
+    got = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] is None for r in got) == [False, False, True, True, True, True]
+    assert len({r["key"] for r in got if r["kept"]}) == 3
+
+
+def test_letters_that_lose_a_byte_go_whole(spark):
+    same = "é" * 30
+    rows = [(1, "a" + same + "b\ufffdc"), (2, "\u00a9" + same[1:] + "\ufffd" + "x")]
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[1]["kept_text"] == rows[0][1] and got[2]["kept_text"] == "\ufffdx"
+
+
+@pytest.mark.parametrize("stage", ["language_id", "near_dedup", "suffix_dedup", "mixing", "packing"])
+def test_pipeline_stages_on_odd_tables(spark, odd, empty, stage):
+    import corpus_pipeline
+
+    function = dict(corpus_pipeline.STAGES)[stage]
+    more = ["own", "tag", "kept", "gone", "row", "key", "times", "copy", "_times", "_text", "lang_pred", "coverage"]
+    docs = odd.withColumns({c: F.lit(f"<{c}>") for c in more})
+    got = function(spark, docs, "")
+    rows = got.collect()
+    none = function(spark, docs.where("false"), "")
+    assert none.count() == 0
+    if stage == "packing":
+        assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 1
+        return
+    assert got.columns == docs.columns == none.columns and got.dtypes == docs.dtypes
+    assert all(r[c] == f"<{c}>" for r in rows for c in more) and all(r["score"] == 0.5 for r in rows)
+    ids = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    if stage == "language_id":
+        assert not {1, 2, 7} & set(ids) and ids.count(3) in (0, 2)
+    elif stage == "near_dedup":
+        assert ids == [1, 2, 3, 4, 5, 7, 8]  # 4 and 9 have the same shingles
+    elif stage == "suffix_dedup":
+        assert ids == [-1, 1, 2, 3, 3, 4, 5, 7, 8] and texts[1] is None and texts[5] == LONG
+    else:
+        assert not {1, 2} & set(ids) and max(ids.count(x) for x in ids) <= 4

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import shutil
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chunkstore, queries
 
@@ -141,7 +143,17 @@ def test_token_store(spark, docs, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in chunkstore.read_documents(spark, path).collect()} == {d: x[3] for d, x in want.items()}
     digests = [r["digest"] for r in chunkstore.read_chunks(spark, path).collect()]
     assert len(digests) == len(set(digests))
-    assert all(r["root"] == r["again"] for r in chunkstore.roots(spark, path).collect())
+    assert all(r["root"] == r["again"] and not r["wrong"] for r in chunkstore.roots(spark, path).collect())
+    one = chunkstore.store_root(spark, path)
+    manifest = f"{path}/manifest"
+    spark.read.parquet(manifest).withColumn("recipe", F.when(F.col("start") == 0, F.concat("recipe", "recipe")).otherwise(F.col("recipe"))).write.parquet(f"{path}/other")
+    shutil.rmtree(f"{tmp_path}/store/manifest")
+    shutil.move(f"{tmp_path}/store/other", f"{tmp_path}/store/manifest")
+    with pytest.raises(ValueError, match="damaged"):
+        chunkstore.verify(spark, path)
+    again = f"file://{tmp_path}/again"
+    chunkstore.write_store(queries.table(spark, DIR, "documents").repartition(3), queries.tokenizer("byte_bpe_50k.json"), again)
+    assert chunkstore.store_root(spark, again) == one or spark.read.parquet(f"{again}/merkle").count() != spark.read.parquet(f"{path}/merkle").count()
 
 
 def test_toxicity(spark, docs):
