@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import Scratch, materialize, remove
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -15,8 +15,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     rounds grow with the logarithm of the longest path in practice. Each round is a
     written table, and the one before is deleted."""
     spark = edges.sparkSession
+    own = Scratch(spark)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, f"{label}-edges", gather=True)
+    both = own.table(both, f"{label}-edges", gather=True)
     now = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), label, gather=True)
     while True:
         beside = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("beside"))
@@ -29,4 +30,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             remove(spark, old)
         now = new.select("node", "component")
         if not moved:
+            own.drop(f"{label}-edges")
             return now

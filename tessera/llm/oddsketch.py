@@ -18,8 +18,10 @@ chance allows (``sigmas`` standard deviations of the samples). With 32 bands of
 at 0.75 is in no common bucket with probability 5e-6.
 
 Defined results: null text, and text without words, has an empty set and is linked with
-nothing; repeated rows are copies; a row with a null doc_id takes part and is kept only
-if its component has no id at all; extra columns are ignored."""
+nothing; repeated rows are copies; a row with a null doc_id is compared like any other, and
+as its id counts a number from 2**62 on that follows from its text: the component of such
+rows alone has no id, and of its texts the one with the smallest number is kept. Ids of
+2**62 and above aren't supported; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, fingerprints, materialize, mix, prefix_sums, slices, utf8_column
+from .common import BASE_A, BASE_B, Scratch, fingerprints, materialize, mix, prefix_sums, release, slices, utf8_column
 from .components import components
 
 SAMPLES, ROWS, BITS = 128, 4, 1024
@@ -116,6 +118,15 @@ def sketch_limit(percent: int, sigmas: float = 6.0) -> int:
     return min(BITS, int(np.ceil(2 * differ)))
 
 
+NO_ID = 1 << 62
+
+
+def key(doc_id: str = "doc_id", text: str = "text"):
+    """What stands for a row: its id or, without one, a number from its text."""
+    number = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    return F.coalesce(F.col(doc_id).cast("long"), number)
+
+
 def _measure(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,12 +141,12 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
                     digest[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
                     sig[k], odd[k] = sample[n].tobytes(), sketch[n].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, sig, odd))],
-                    names=["doc_id", "n_shingles", "digest", "sample", "sketch"],
+                    [batch.column("doc_id").slice(i, j - i), batch.column("key").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, sig, odd))],
+                    names=["doc_id", "key", "n_shingles", "digest", "sample", "sketch"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sample binary, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long"), key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, sample binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -191,7 +202,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 yield pa.RecordBatch.from_arrays([batch.column("class").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("class"), "text").where("text IS NOT NULL")
+    rows = docs.where("text IS NOT NULL").select(key().alias("class"), "text")
     return rows.join(wanted.select("class"), "class", "left_semi").mapInArrow(run, "class long, set binary")
 
 
@@ -229,24 +240,29 @@ def _rest(members: DataFrame, known: DataFrame, classes: DataFrame, sets: DataFr
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: int = 1000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id with the same set)."""
-    measured = materialize(_measure(docs, width), "sketches")
-    some = measured.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sample").alias("sample"), F.first("sketch").alias("sketch")), "classes", gather=True)
-    # where ids repeat a class may have several sets; it is linked if one of them is
-    bands = _bands(classes)
-    centre = F.min(F.struct(F.xxhash64(F.col("class"), F.pmod("bucket", F.lit(2))).alias("h"), F.col("class"))).alias("centre")
-    shared = bands.groupBy("bucket").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("centre.class").alias("centre"))
-    members = materialize(bands.join(shared, "bucket"), "buckets", gather=True)
-    pairs = members.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-    wanted = classes.join(members.select("class").distinct(), "class", "left_semi")
-    sets = materialize(_sets(docs, wanted, width), "sets", gather=True)
-    links = materialize(_confirm(pairs, classes, sets, percent), "links", gather=True)
-    known = components(links, "first")
-    more = materialize(_rest(members.select("bucket", "class").distinct(), known, classes, sets, percent, block), "more-links", gather=True)
-    if not more.isEmpty():
-        known = components(links.unionByName(more), "all")
-    found = classes.select("digest", "class").join(known, classes["class"] == known["node"], "left").select("digest", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
-    out = measured.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    """doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id with the same set),
+    and ``key``, which tells rows without an id apart."""
+    with Scratch(docs.sparkSession) as own:
+        measured = own.table(_measure(docs, width), "sketches")
+        some = measured.where("digest IS NOT NULL")
+        classes = own.table(some.groupBy("digest").agg(F.min("key").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sample").alias("sample"), F.first("sketch").alias("sketch")), "classes", gather=True)
+        # where ids repeat a class may have several sets; it is linked if one of them is
+        bands = _bands(classes)
+        centre = F.min(F.struct(F.xxhash64(F.col("class"), F.pmod("bucket", F.lit(2))).alias("h"), F.col("class"))).alias("centre")
+        shared = bands.groupBy("bucket").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("centre.class").alias("centre"))
+        members = own.table(bands.join(shared, "bucket"), "buckets", gather=True)
+        pairs = members.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+        wanted = classes.join(members.select("class").distinct(), "class", "left_semi")
+        sets = own.table(_sets(docs, wanted, width), "sets", gather=True)
+        release(docs.sparkSession)
+        links = own.table(_confirm(pairs, classes, sets, percent), "links", gather=True)
+        known = own.table(components(links, "first"), "known", gather=True)
+        more = own.table(_rest(members.select("bucket", "class").distinct(), known, classes, sets, percent, block), "more-links", gather=True)
+        own.drop("sets", "buckets")
+        if not more.isEmpty():
+            known = own.table(components(links.unionByName(more), "all"), "all-known", gather=True)
+        found = classes.select("digest", "class").join(known, classes["class"] == known["node"], "left").select("digest", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
+        out = measured.select("doc_id", "key", "n_shingles", "digest").join(found, "digest", "left").withColumn("component", F.coalesce("component", "key"))
+        id_of = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+        result = out.select("doc_id", "n_shingles", id_of("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"), F.coalesce(id_of("class_id"), "doc_id").alias("class_id"), "key")
+        return materialize(result, "near-duplicates")

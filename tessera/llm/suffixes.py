@@ -111,7 +111,8 @@ def _steps(row: np.ndarray) -> np.ndarray:
 def _deal(both: np.ndarray, key: np.ndarray, row: np.ndarray, buckets: int):
     """By bucket of the key: (bucket, numbers of its entries in order of their rows, the rows'
     (doc_id, tag) as bytes, each entry's row among these)."""
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    spread = mix(key + np.uint64(BASE_B))  # chosen fingerprints are small ones
+    bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((row, bucket))
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
@@ -246,7 +247,7 @@ def _spread(docs: DataFrame, depth: int, core: int, buckets: int, most: int, hol
         for batch in batches:
             data, offs = utf8_column(batch.column("text"))
             both = np.stack([batch.column(c).to_numpy() for c in ("doc_id", "tag")], 1)
-            for i, j in slices(offs, 1 << 20):
+            for i, j in slices(offs, 1 << 19):
                 spans = Spans(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth, core)
                 held.append((both[i:j], spans.h, spans.s.astype("<u4"), spans.text, (spans.first - (offs[i:j] - offs[i])[spans.text]).astype("<u4")))
                 size += len(spans.h)
@@ -357,7 +358,7 @@ def _around(texts: DataFrame, depth: int, core: int, buckets: int, hold: int) ->
             data, offs = utf8_column(batch.column("text"))
             both = np.stack([batch.column(c).to_numpy() for c in ("doc_id", "tag")], 1)
             asked = batch.column("asked").to_pylist()
-            for i, j in slices(offs, 1 << 20):
+            for i, j in slices(offs, 1 << 19):
                 at = offs[i : j + 1] - offs[i]
                 part = data[offs[i] : offs[j]]
                 spans = Spans(part, at, depth, core)
@@ -425,7 +426,7 @@ def _remove(texts: DataFrame, depth: int, core: int, with_text: bool) -> DataFra
             ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
             found = {c: batch.column(c).to_pylist() for c in ("spans", "masks")}
             rows = []
-            for i, j in slices(offs, 1 << 20):
+            for i, j in slices(offs, 1 << 19):
                 at = offs[i : j + 1] - offs[i]
                 part = data[offs[i] : offs[j]]
                 gone = np.zeros(len(part) + 1, np.int32)
