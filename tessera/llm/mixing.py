@@ -17,8 +17,10 @@ weight), with the one level at which the sum is right.
 Defined results: null text has size 0; a document without words is never taken;
 everything is a function of ids, sizes, sources and ``seed``, so reruns agree;
 repeated rows of one doc_id share its block and count as separate documents;
-an empty table gives no rows. Sources, not documents, come to the driver, and their
-number must stay below ``max_sources``."""
+an empty table gives no rows. Sources, not documents, come to the driver: a row of about
+100 bytes for each and its quota in each shard. A block holds ``block_docs`` documents, or
+as many more as keep all blocks together near ``most_blocks``; so one source's blocks are
+put in order by one task, and draws are exact integers, whatever the corpus."""
 
 from __future__ import annotations
 
@@ -35,9 +37,13 @@ from .common import materialize
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def words(text: str = "text"):
+    spaced = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    return F.size(F.array_remove(F.split(spaced, " ", -1), "")).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    text = F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.size(F.array_remove(F.split(text, " ", -1), "")).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words().alias("size"))
 
 
 def targets(source_sizes: list[tuple[str | None, int]], weights=(3, 1, 2), total: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -62,14 +68,7 @@ def split(quotas: np.ndarray, shards: int, seed: int, path: int = 1) -> np.ndarr
     total = int(quotas.sum())
     draw = np.random.default_rng([seed, path])
     half = total * left // shards
-    if total < 1_000_000_000 and total:
-        mine = draw.multivariate_hypergeometric(quotas, half, method="marginals")
-    else:
-        mine = quotas * 0
-        rest, want = total, half
-        for k, q in enumerate(quotas.tolist()):  # marginals, one after the other
-            mine[k] = draw.hypergeometric(q, rest - q, want) if 0 < rest < 1_000_000_000 else (round(want * q / rest) if rest else 0)
-            rest, want = rest - q, want - int(mine[k])
+    mine = draw.multivariate_hypergeometric(quotas, half, method="marginals") if total else quotas * 0
     return np.concatenate([split(mine, left, seed, 2 * path), split(quotas - mine, shards - left, seed, 2 * path + 1)])
 
 
@@ -86,20 +85,19 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pick, pa.int32())], names=[*batch.schema.names, "pick"])
 
 
-def mix(docs: DataFrame, seed: int = 17, block_docs: int = 256, shards: int = 16, max_sources: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, block_docs: int = 256, shards: int = 16, most_blocks: int = 1 << 20) -> DataFrame:
     """doc_id, size, source_size, target, taken, and where the copies go: shard_1, shard_2 (-1: none), position."""
     spark = docs.sparkSession
     h = lambda *c: F.xxhash64(F.lit(seed), *[F.lit(x) if isinstance(x, (int, str)) else x for x in c])
     sized = materialize(sizes(docs), "sizes")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(per) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
+    in_block = max(block_docs, -(-sum(r["n"] for r in per) // most_blocks))
     goal = targets([(r["source"], r["source_size"]) for r in per])
     plan = []
     for r in per:
         t = goal[r["source"]]
         whole = t >= r["source_size"] > 0
-        plan.append((r["source"], r["source_size"], float(t), whole, float(t) - r["source_size"] * whole, max(1, -(-r["n"] // block_docs))))
+        plan.append((r["source"], r["source_size"], float(t), whole, float(t) - r["source_size"] * whole, max(1, -(-r["n"] // in_block))))
     plans = spark.createDataFrame(plan, "source string, source_size long, target double, whole boolean, want double, blocks long")
 
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
