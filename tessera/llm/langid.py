@@ -7,13 +7,14 @@ the hits of each language are counted; a filter whose share of set bits is f let
 f ** hashes of foreign n-grams through, so of n grams (hits - n p) / (1 - p) are
 taken as real. The language with most wins, ties go to the first in order.
 
-A language contains an n-gram if, among its training grams, the gram's share is at
-least ``contrast`` of the largest share in any language and it occurs ``least`` times
-or more; so grams of all languages set all bits and don't decide. N-grams are four
-bytes of lower-cased UTF-8 text in which all that isn't a letter is one space.
-
-The table has ``bits`` entries, whatever the corpus: what goes to the driver and to
-each task is bounded by it. Counts cover all training documents.
+A language contains an n-gram if the gram's share among its training grams is at least
+``contrast`` of the largest share in any language and at least ``least``; so grams of all
+languages set all bits and don't decide, and what is rare noise in a large corpus doesn't
+enter. A language has at most 1 / ``least`` such grams, whatever the corpus. The table has
+``room`` entries for each gram of the language with most, up to a power of two: filters
+are no fuller at any size, and what goes to the driver and to each task is bounded (2**22
+entries by the defaults). N-grams are four bytes of lower-cased UTF-8 text in which all that
+isn't a letter is one space. Counts cover all training documents.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if
 nothing was learned; repeated rows count as often as they occur; extra columns are ignored."""
@@ -96,28 +97,32 @@ def _count(train: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, contrast: float = 0.1, least: int = 3, hashes: int = 3, bits: int = 1 << 20) -> Filters:
+def fit(train: DataFrame, contrast: float = 0.1, least: float = 2e-6, hashes: int = 3, room: int = 8) -> Filters:
     """Learn from lang and text of ``train``; rows with a null in either teach nothing."""
     counts = materialize(_count(train.where("lang IS NOT NULL AND text IS NOT NULL")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     langs = sorted(totals)
+    bits = 1 << 10
     planes = [np.zeros(bits, np.uint8) for _ in range(0, max(len(langs), 1), 8)]
     if langs:
         number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
         total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(totals[lang]))])
         share = counts.withColumn("share", F.col("n") / total[F.col("lang")])
         best = F.max("share").over(Window.partitionBy("gram"))
-        member = share.withColumn("best", best).where((F.col("share") >= contrast * F.col("best")) & (F.col("n") >= least))
+        member = materialize(share.withColumn("best", best).where((F.col("share") >= contrast * F.col("best")) & (F.col("share") >= least)), "members")
+        most = max((r["count"] for r in member.groupBy("lang").count().collect()), default=0)
+        bits = max(bits, 1 << (room * most - 1).bit_length())
+        planes = [np.zeros(bits, np.uint8) for _ in planes]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 grams, lang = batch.column("gram").to_numpy(), batch.column("k").to_numpy()
                 place = np.concatenate(list(_places(grams, hashes, bits)))
                 k = np.tile(lang, hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(k // 8), pa.array(np.left_shift(1, k % 8))], names=["place", "plane", "mask"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (place, k // 8, np.left_shift(1, k % 8)))], names=["place", "plane", "mask"])
 
-        marks = member.select("gram", number[F.col("lang")].cast("long").alias("k")).mapInArrow(run, "place long, plane long, mask long")
-        found = marks.groupBy("plane", "place").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `bits` rows a plane
+        marks = member.select("gram", number[F.col("lang")].cast("long").alias("k")).mapInArrow(run, "place int, plane int, mask int")
+        found = marks.groupBy("plane", "place").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most `bits` rows a plane of 12 bytes
         for plane in range(len(planes)):
             own = found[found["plane"] == plane]
             planes[plane][own["place"].to_numpy()] = own["mask"].to_numpy().astype(np.uint8)
