@@ -56,7 +56,7 @@ def _kind(spec: dict) -> str:
     return "whole"
 
 
-class _Table:
+class Table:
     """Ids by fingerprint: open addressing, at most 2**``most_bits`` places of 17 bytes, and a pool of ids.
 
     When it is full, only the entries that were found again since the last time stay."""
@@ -146,7 +146,7 @@ class Encoder:
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
-        self.table = _Table(most_bits)
+        self.table = Table(most_bits)
 
     @property
     def vocabulary(self) -> int:
