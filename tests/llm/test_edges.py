@@ -134,6 +134,18 @@ def test_mixing(spark, odd, empty):
     assert (parts == mixing.split(quotas, 5, 3)).all()
 
 
+def test_mixing_with_few_large_blocks(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 5}") for i in range(3000)], "doc_id long, text string, source string")
+    by: dict = {}
+    for r in mixing.mix(docs, block_docs=4, most_blocks=20).collect():
+        by.setdefault(r["source"], []).append(r)
+    for own in by.values():
+        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) < 7
+    quotas = np.array([10**7, 3 * 10**7, 5], np.int64)
+    parts = mixing.split(quotas, 7, 1)
+    assert parts.sum(0).tolist() == quotas.tolist() and max(parts.sum(1)) - min(parts.sum(1)) <= 1
+
+
 def test_token_store(spark, odd, empty):
     tok = queries.tokenizer("byte_bpe_50k.json")
     rows = sorted(chunkstore.store_and_verify(odd, tok).collect(), key=lambda r: r["start"])
@@ -189,17 +201,16 @@ def test_toxicity(spark, odd, empty):
 def test_block_max_search_is_exact():
     draw = np.random.default_rng(4)
     rows = []
-    for i in range(700):
-        f = sorted(draw.choice(60, draw.integers(1, 9), replace=False).tolist())
+    for _ in range(700):
+        f = np.sort(draw.choice(60, draw.integers(1, 9), replace=False))
         w = draw.random(len(f)) + 0.1
-        rows.append((f, (w / np.sqrt((w * w).sum())).tolist(), 1, 0, i))
+        rows.append((f, w / np.sqrt((w * w).sum())))
     index = toxicity.Index(rows, 60)
-    ordered = sorted(rows, key=lambda r: (r[0], r[1], r[4]))
     dense = np.zeros((700, 60))
-    for k, r in enumerate(ordered):
-        dense[k, r[0]] = r[1]
+    for k, (f, w) in enumerate(rows):
+        dense[k, f] = w
     for _ in range(40):
-        f = sorted(draw.choice(60, 5, replace=False).tolist())
+        f = np.sort(draw.choice(60, 5, replace=False))
         w = draw.random(5)
         s = dense[:, f] @ w
         want = [k for k in np.lexsort((np.arange(700), -s)) if s[k] > 0][:15]
@@ -207,6 +218,15 @@ def test_block_max_search_is_exact():
         assert np.allclose(got, s[want]) and len(at) == len(want)
 
 
+def test_toxicity_ties_and_copies(spark):
+    rows = [(i, "good day to you all" if i % 2 else "you awful fool") for i in range(40)] + [(100, "awful fool"), (101, "good day"), (102, ""), (103, "unknown")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, F.lit(True)).collect()}
+    assert got[100]["predicted"] == 1 and got[101]["predicted"] == 0 and got[100]["evidence"][0] == 0
+    assert got[102]["score"] == got[103]["score"] == 0.5
+
+
 def test_near_duplicates(spark, odd, empty):
     rows = oddsketch.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)

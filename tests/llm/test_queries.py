@@ -4,6 +4,7 @@ import hashlib
 import re
 import shutil
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,6 +35,29 @@ def test_language_id(spark, docs):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.9
 
 
+def test_language_filters_agree_with_exact_sets(spark):
+    """Members by plain counts; the winner by exact sets where the filters' errors can't decide."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in queries.table(spark, DIR, "documents").select("doc_id", "text", "lang").collect()]
+    grams = lambda t: (lambda b: [b[i : i + 4] for i in range(len(b) - 3)])(b" " + re.sub(r"[\W\d_]+", " ", t.lower()).encode() + b" ")
+    count: dict = {}
+    for d, t, lang in rows:
+        if t and lang and crc_id(d) % 5:
+            count.setdefault(lang, Counter()).update(grams(t))
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in count.items()}
+    best = {g: max(s.get(g, 0) for s in share.values()) for c in count.values() for g in c}
+    member = {lang: {g for g, x in s.items() if x >= 0.1 * best[g] and x >= 2e-6} for lang, s in share.items()}
+    got = {r["doc_id"]: r for r in queries.op1(spark, DIR).collect()}
+    checked = 0
+    for d, t, _ in rows:
+        own = grams(t or "")
+        hits = sorted(((sum(g in m for g in own), lang) for lang, m in member.items()), reverse=True)
+        if own and hits[0][0] - hits[1][0] > 0.1 * len(own):
+            checked += 1
+            assert got[d]["lang_pred"] == hits[0][1]
+            assert abs(got[d]["coverage"] - hits[0][0] / len(own)) < 0.05 + 2 / len(own)
+    assert checked > 0.8 * len(rows)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -157,20 +181,49 @@ def test_token_store(spark, docs, tmp_path):
 
 
 def test_toxicity(spark, docs):
+    """All scores against plain dictionaries and a search of all examples."""
+    rows = {r["doc_id"]: r for r in queries.op8(spark, DIR).collect()}
+    truth = {r["doc_id"]: int(r["toxic"] != 0) for r in queries.table(spark, DIR, "labels").where("toxic IS NOT NULL").collect()}
+    assert all(r["held_out"] == (crc_id(d) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for d, r in rows.items())
+    bags = {d: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for d, t in docs}
+    taught = [d for d in bags if d in truth and crc_id(d) % 4 != 2]
+    rate = np.mean([truth[d] for d in taught])
+    df = Counter(w for c in bags.values() for w in c)
+    seen, toxic = Counter(w for d in taught for w in bags[d]), Counter(w for d in taught if truth[d] for w in bags[d])
+    odds = lambda p: np.log(p / (1 - p))
+    space = {w for d in taught for w in bags[d]}
+    scale = {w: np.log(1 + len(bags) / df[w]) * (odds((toxic[w] + 5 * rate) / (seen[w] + 5)) - odds(rate)) ** 2 for w in space}
+
+    def unit(bag):
+        v = {w: (1 + np.log(n)) * scale[w] for w, n in bag.items() if w in scale}
+        size = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    own = {d: unit(bags[d]) for d in taught}
+    text = dict(docs)
+    assert len({text[d] for d in taught}) < 2000  # all are examples; equal texts are one, with all votes
+    groups = {}
+    for d in taught:
+        groups.setdefault((text[d] or "").lower(), []).append(d)
+    for d, bag in bags.items():
+        v = unit(bag)
+        near = sorted(((sum(x * own[e[0]].get(w, 0.0) for w, x in v.items()), e) for e in groups.values()), key=lambda x: -x[0])
+        cut = near[14][0] if len(near) > 14 else 0.0
+        if len(near) > 15 and cut > 0 and abs(near[15][0] - cut) < 1e-12:
+            continue  # a tie at the edge
+        one = sum(s * s * sum(truth[x] for x in e) for s, e in near[:15])
+        all_ = sum(s * s * len(e) for s, e in near[:15])
+        assert abs(rows[d]["score"] - (one + 0.05 * rate) / (all_ + 0.05)) < 1e-9, d
+
+
+def test_toxicity_held_out(spark):
     rows = queries.op8(spark, "/root/testdata/sf0.01").collect()
     truth = {r["doc_id"]: r["toxic"] for r in queries.table(spark, "/root/testdata/sf0.01", "labels").collect()}
-    assert all(r["held_out"] == (crc_id(r["doc_id"]) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
-    held = [(truth[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert np.mean([a == b for a, b in held]) > 0.9
-
-
-def test_toxicity_recall_at_small_sizes(spark):
-    rows = queries.op8(spark, "/root/testdata/sf0.01").collect()
-    toxic = {r["doc_id"] for r in queries.table(spark, "/root/testdata/sf0.01", "labels").where("toxic = 1").collect()}
-    held = [r["predicted"] for r in rows if r["held_out"] and r["doc_id"] in toxic]
-    assert len(held) > 10 and np.mean(held) >= 0.7
-    for where, found in ((DIR, queries.op8(spark, DIR).collect()), ("/root/testdata/sf0.01", rows)):
-        assert np.mean([len(r["evidence"]) > 0 for r in found]) > 0.98, where
+    held = [(truth[r["doc_id"]], r["predicted"], r["score"]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    found, wrong = [p for t, p, _ in held if t], [p for t, p, _ in held if not t]
+    assert len(found) > 10 and np.mean(found) >= 0.6 and np.mean(wrong) <= 0.03
+    assert abs(np.mean([s for _, _, s in held]) - np.mean([t for t, _, _ in held])) < 0.06  # calibrated
+    assert np.mean([len(r["evidence"]) > 0 for r in rows]) > 0.98
 
 
 def test_near_duplicates(spark, docs):
