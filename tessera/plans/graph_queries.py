@@ -231,19 +231,11 @@ def conventions(spark, d):
 
 @query(
     "callers_khop",
-    """WITH RECURSIVE c AS MATERIALIZED (SELECT to_func AS src, from_func AS dst FROM {calls}), s AS (SELECT DISTINCT to_func AS node FROM {calls} ORDER BY 1 LIMIT 40), h(node, place, level) AS (SELECT node, node, 0 FROM s UNION SELECT h.node, c.dst, h.level + 1 FROM h JOIN c ON h.place = c.src WHERE h.level < 2)
+    """WITH RECURSIVE c AS MATERIALIZED (SELECT to_func AS src, from_func AS dst FROM {calls}), s AS (SELECT DISTINCT to_func AS node FROM {calls}), h(node, place, level) AS (SELECT node, node, 0 FROM s UNION SELECT h.node, c.dst, h.level + 1 FROM h JOIN c ON h.place = c.src WHERE h.level < 2)
 SELECT node, place AS target, min(level)::INT AS level FROM h WHERE level > 0 GROUP BY node, place""",
 )
 def callers_khop(spark, d):
     calls = frame(spark, d, "calls").select(F.col("to_func").alias("src"), F.col("from_func").alias("dst"))
-    starts = calls.select(F.col("src").alias("node")).distinct().orderBy("node").limit(40)
-    return T.hops(starts, calls, 2)
-
-
-@query("callers_khop_all", None)
-def callers_khop_all(spark, d):
-    """Callers of every callee, over the calls of the whole table; tests/test_graph.py has a brute-force version."""
-    calls = frame(spark, d, "calls_all").select(F.col("to_func").alias("src"), F.col("from_func").alias("dst"))
     return T.hops(calls.select(F.col("src").alias("node")).distinct(), calls, 2)
 
 
@@ -313,41 +305,6 @@ def flagship(spark, d):
     return _judged(_report(spark, d))
 
 
-# the same over edges of the whole tables
-
-
-def _now_all(spark, d):
-    return frame(spark, d, "nodes_current"), frame(spark, d, "edges_current_all")
-
-
-def _base_all(spark, d):
-    return frame(spark, d, "nodes_base"), frame(spark, d, "edges_base_all")
-
-
-def _loss_all(spark, d, kind: str) -> DataFrame:
-    nodes, edges = _now_all(spark, d)
-    return M.support_state(nodes, M.supported(nodes, edges), kind)
-
-
-WHOLE = {
-    "graph_diff": lambda spark, d: G.diff_edges(_base_all(spark, d)[1], _now_all(spark, d)[1]),
-    "degree": lambda spark, d: G.degree(_now_all(spark, d)[1]),
-    "edge_counts_by_kind": lambda spark, d: G.counts(_now_all(spark, d)[1]),
-    "reachability": lambda spark, d: M.supported(*_now_all(spark, d)),
-    "path_loss": lambda spark, d: _loss_all(spark, d, "concept"),
-    "path_loss_score": lambda spark, d: M.loss(_loss_all(spark, d, "concept")).withColumn("score", F.round("score", 6)),
-    "claim_support": lambda spark, d: _loss_all(spark, d, "claim"),
-    "blast_radius": lambda spark, d: M.blast(_base_all(spark, d)[1], _now_all(spark, d)[1])[1],
-    "blast_top5": lambda spark, d: M.blast_top(M.blast(_base_all(spark, d)[1], _now_all(spark, d)[1])[0]),
-    "flagship": lambda spark, d: _judged(_report(spark, d, _now_all, _base_all)),
-}
-_THIN, _ALL = ([duckdb_sql(f"{{edges_{side}{which}}}") for side in ("current", "base")] for which in ("", "_all"))
-for _name, _run in WHOLE.items():
-    QUERIES[f"{_name}_all"] = _run
-    if _name in SQL:
-        SQL[f"{_name}_all"] = SQL[_name].replace(_THIN[0], _ALL[0]).replace(_THIN[1], _ALL[1])
-
-
 FACTS = "SELECT p_partkey AS id, p_size % 3 = 0 AS base_available, p_size % 7 - 5 AS broken_rules, p_size % 2 AS stories, p_size % 5 - 3 AS uncovered_stories, p_size % 11 - 9 AS contradictions, CAST(p_size % 9 AS DOUBLE) / 3 AS neighborhood_score, p_size % 6 AS concepts, CAST(p_size % 10 AS DOUBLE) / 10 AS path_loss_score, p_partkey % 3 = 1 AS path_loss_convention, p_partkey % 13 - 11 AS newly_orphaned_concepts, p_partkey % 23 AS blast_score, p_partkey % 31 - 29 AS stale_decisions, p_partkey % 17 - 15 AS cycles, p_partkey % 8 - 6 AS broken_links, p_partkey % 5 - 3 AS dangling_imports FROM {part}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHANGES, COMMITS
@@ -79,9 +79,46 @@ def worktree(changed: DataFrame) -> DataFrame:
     return changed.where("area IN ('worktree', 'untracked')").select("path").distinct()
 
 
-def collect(changed: DataFrame, mode: str, include_untracked: bool = False) -> DataFrame:
-    """The paths that feed the gate: scan takes what is staged, check the worktree, review the range and the worktree."""
-    areas = {"scan": ["staged"], "check": ["staged", "worktree"], "review": ["range", "worktree", "staged"]}[mode]
-    if include_untracked or mode == "review":
-        areas = [*areas, "untracked"]
-    return changed.where(F.col("area").isin(areas)).select("path").distinct()
+def ordered_union(*tables: DataFrame) -> DataFrame:
+    """path, position: every path once, in order of its first table and its place there (a column
+    ``position``, or by name)."""
+    rows = None
+    for k, table in enumerate(tables):
+        at = F.col("position") if "position" in table.columns else F.lit(0)
+        own = table.select("path", F.struct(F.lit(k).alias("k"), at.cast("long").alias("at"), F.col("path").alias("p")).alias("order"))
+        rows = own if rows is None else rows.unionByName(own)
+    first = rows.groupBy("path").agg(F.min("order").alias("order"))
+    return first.select("path", (F.row_number().over(Window.orderBy("order")) - 1).cast("long").alias("position"))
+
+
+#: The revision a command compares with if it isn't told one.
+DEFAULT_BASE = {"check": "HEAD~1", "review": "HEAD"}
+
+
+def collect(changed: DataFrame, mode: str, staged: bool = False, of_worktree: bool = False, include_untracked: bool = False) -> DataFrame:
+    """path, position of what feeds the gate; ``changed`` has the range from the command's base.
+
+    scan: what is staged if ``staged`` is set, else nothing. check: the range, and what is
+    untracked if asked for. review: the range; with ``staged`` what is staged before it; with
+    ``of_worktree`` what is untracked after it."""
+    area = lambda name: changed.where(F.col("area") == name).select("path")
+    if mode == "scan":
+        return ordered_union(area("staged") if staged else area("staged").where("false"))
+    if mode == "check":
+        return ordered_union(area("range"), *([area("untracked")] if include_untracked else []))
+    if mode == "review":
+        if staged:
+            return ordered_union(area("staged"), area("range"))
+        return ordered_union(area("range"), *([area("untracked")] if of_worktree else []))
+    raise ValueError(f"no such command: {mode}")
+
+
+def collect_files(spark: SparkSession, root: str, mode: str, base: str | None = None, **flags: bool) -> DataFrame:
+    """``collect`` over the working tree at ``root``, with the command's own base unless told another."""
+    return collect(changes(spark, root, base or DEFAULT_BASE.get(mode)), mode, **flags)
+
+
+def counts(changed: DataFrame) -> DataFrame:
+    """One row: how many paths are staged, dirty and untracked."""
+    n = lambda name: F.count_distinct(F.when(F.col("area") == name, F.col("path")))
+    return changed.agg(n("staged").alias("staged"), n("worktree").alias("dirty"), n("untracked").alias("untracked"))

@@ -1,8 +1,10 @@
 """Change detection on Structured Streaming.
 
 A source of file versions (path, body, version) is kept as the latest version of each path
-in a table; each micro-batch recomputes the Merkle root and, if it differs from the last,
-calls ``emit``. State is in tables and the stream's checkpoint, so a restart goes on."""
+in a table; each micro-batch merges its rows into the state of the batch before, recomputes
+the Merkle root and, if it differs from the last, calls ``emit``. The state and its root are
+tables, one of each for a batch; those of the last two batches are kept, so that a batch that
+is repeated after a failure finds what it began with, and a restart goes on."""
 
 from __future__ import annotations
 
@@ -30,29 +32,52 @@ class Poller:
         return changed
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """path, body, version of the newest version of each path. Deletions (null bodies) stay, or an older version would come back."""
+    top = rows.groupBy("path").agg(F.max(F.struct("version", "body")).alias("top"))
+    return top.select("path", "top.body", "top.version")
+
+
 def latest_versions(rows: DataFrame) -> DataFrame:
     """path, body of the newest version; a null body is a deletion."""
-    newest = rows.groupBy("path").agg(F.max_by("body", "version").alias("body"))
-    return newest.where("body IS NOT NULL")
+    return newest(rows).where("body IS NOT NULL").select("path", "body")
+
+
+def _exists(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def watch(spark: SparkSession, versions: DataFrame, table: str, checkpoint: str, emit: Callable[[DataFrame, str], None], interval: str | None = None, initial: bool = False, log: Callable[[str], None] = print):
+def watch(spark: SparkSession, versions: DataFrame, table: str, checkpoint: str, emit: Callable[[DataFrame, str], None], interval: str | None = "1 second", initial: bool = False, log: Callable[[str], None] = print):
     """Start watching. ``versions``: a streaming DataFrame (path, body, version).
 
-    Without ``interval`` what is there is taken once (availableNow). An error in ``emit`` is
-    logged and the stream goes on."""
-    state: dict[str, str | None] = {"root": None}
+    With ``interval`` None what is there is taken once (availableNow). The first root ever is
+    emitted only if ``initial`` is set; an error in ``emit`` is logged and the stream goes on."""
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")  # a repeated batch replaces itself
-        files = latest_versions(spark.read.option("basePath", table).parquet(table))
+        state, roots = f"{table}/state", f"{table}/root"
+        known = number > 0 and _exists(spark, f"{roots}/batch={number - 1}")
+        rows = batch.select("path", "body", "version")
+        if known:
+            rows = rows.unionByName(spark.read.parquet(f"{state}/batch={number - 1}"))
+        newest(rows).write.mode("overwrite").parquet(f"{state}/batch={number}")
+        files = latest_versions(spark.read.parquet(f"{state}/batch={number}"))
         root = root_of(files)
-        if root != state["root"] and (state["root"] is not None or initial):
+        spark.createDataFrame([(root,)], "root string").coalesce(1).write.mode("overwrite").parquet(f"{roots}/batch={number}")
+        before = spark.read.parquet(f"{roots}/batch={number - 1}").first()["root"] if known else None
+        if root != before and (known or initial):
             try:
                 emit(files, root)
             except Exception as e:  # one bad evaluation must not end the watch
                 log(f"evaluation failed: {e}")
-        state["root"] = root
+        if number > 1:
+            for old in (state, roots):
+                _drop(spark, f"{old}/batch={number - 2}")
 
     writer = versions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
