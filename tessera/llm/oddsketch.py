@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, Scratch, fingerprints, materialize, mix, prefix_sums, release, slices, utf8_column
+from .common import BASE_A, BASE_B, Scratch, fingerprints, materialize, mix, prefix_sums, release, slices, trim, utf8_column
 from .components import components
 
 SAMPLES, ROWS, BITS = 128, 4, 1024
@@ -144,6 +144,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column("doc_id").slice(i, j - i), batch.column("key").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, sig, odd))],
                     names=["doc_id", "key", "n_shingles", "digest", "sample", "sketch"],
                 )
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, sample binary, sketch binary")

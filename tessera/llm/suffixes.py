@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, Scratch, fingerprints, inverse, materialize, mix, powers, prefix_sums, slices, utf8_column
+from .common import BASE_A, BASE_B, Scratch, fingerprints, inverse, materialize, mix, powers, prefix_sums, slices, trim, utf8_column
 
 CORE = 20
 #: The place of a marked entry.
@@ -187,6 +187,7 @@ def _held(rows: DataFrame, close) -> DataFrame:
                 yield _batch(known, _FOUND)
         if held and (out := close(*zip(*held))):
             yield _batch(out, _FOUND)
+        trim()
 
     dealt = rows.repartition("bucket", F.when(F.col("bucket") < 0, F.col("doc_id"))).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, _FOUND)
@@ -256,6 +257,8 @@ def _spread(docs: DataFrame, depth: int, core: int, buckets: int, most: int, hol
                     held, size = [], 0
         if size:
             yield from close()
+        del held[:]
+        trim()
 
     return _tagged(docs).mapInArrow(run, _ROWS)
 
@@ -385,6 +388,8 @@ def _around(texts: DataFrame, depth: int, core: int, buckets: int, hold: int) ->
                     held, size = [], 0
         if size:
             yield from close()
+        del held[:]
+        trim()
 
     return texts.mapInArrow(run, _ROWS)
 
@@ -459,6 +464,7 @@ def _remove(texts: DataFrame, depth: int, core: int, with_text: bool) -> DataFra
             cols = list(zip(*rows)) if rows else [[]] * (9 if with_text else 5)
             kinds = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64()] if with_text else [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text", "spans", "tag"][: len(kinds)])
+        trim()
 
     return texts.mapInArrow(run, schema)
 
