@@ -254,16 +254,27 @@ def truth_alignment(nodes, edges, base: DataFrame, current: DataFrame) -> DataFr
     return rows.where("doc_changed <> artifact_changed").select(direction.alias("direction"), F.col("doc").alias("authority_doc"), F.col("authority").alias("authority_id"), "artifact", F.col("what").alias("artifact_kind"), "relation").distinct()
 
 
-def orphaned_aliases(base_nodes: DataFrame, nodes: DataFrame, files: DataFrame, block: int = 512) -> DataFrame:
-    """file, name: frontend files that hold the label of a metric that is gone.
-
-    Substrings of any place: labels go as literal arrays of at most ``block``, so every body is
-    scanned once for each block and nothing is joined by a condition."""
-    gone = base_nodes.where("kind = 'metric'").select("label").distinct().join(nodes.where("kind = 'metric'").select("label"), "label", "left_anti")
-    blocks = gone.withColumn("b", F.pmod(F.hash("label"), F.lit(64))).groupBy("b").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    front = files.where(P.lower_ext("path").isin(R.FRONTEND)).select("path", "body")
-    met = front.join(F.broadcast(blocks)).select(F.col("path").alias("file"), F.explode(F.filter("labels", lambda x: F.contains(F.col("body"), x))).alias("name"))
-    return met.distinct()
+def orphaned_aliases(base_nodes: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """file, name: frontend files that hold the label of a metric that is gone, at any place.
+
+    A label's longest run of word characters (or of others that aren't white space) lies within such
+    a run of a text that holds the label. So the distinct runs of all texts are cut to the lengths that
+    occur (names of files: at most 255), joined with the labels' runs by equality, and only labels
+    of several runs are looked up in the texts that hold their run."""
+    gone = base_nodes.where("kind = 'metric'").select(F.col("label").alias("name")).distinct().join(nodes.where("kind = 'metric'").select(F.col("label").alias("name")), "name", "left_anti")
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]+"), 0)
+    longest = F.array_max(F.transform(runs(F.col("name")), lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))
+    gone = gone.select("name", longest["run"].alias("key")).where("key IS NOT NULL")
+    lengths = sorted(r[0] for r in gone.select(F.length("key")).distinct().collect())
+    front = files.where(P.lower_ext("path").isin(R.FRONTEND)).select(F.col("path").alias("file"), "body")
+    held = front.select("file", F.explode(F.array_distinct(runs(F.col("body")))).alias("run"))
+    if not lengths:
+        return held.select("file", F.col("run").alias("name")).where("false")
+    cuts = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    met = held.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(*[cuts(n) for n in lengths]))).alias("key")).join(gone, "key")
+    found = held.join(met, "run").select("file", "name", (F.col("key") == F.col("name")).alias("whole")).distinct()
+    looked = found.where("NOT whole").join(front, "file").where("contains(body, name)").select("file", "name")
+    return found.where("whole").select("file", "name").unionByName(looked).distinct()
 
 
 def dangling_imports(files: DataFrame) -> DataFrame:

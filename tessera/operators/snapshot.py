@@ -37,35 +37,34 @@ def markdown_hash(body: Column) -> Column:
     """SHA-256 of what readers follow: front matter, headings, link targets, fences and their
     content. Prose drops out.
 
-    A fence line is inside or outside by the number of fence lines before it."""
+    The text is split before each fence line, so a part is code or prose by its number and the
+    work is linear in the text."""
     front = F.regexp_extract(body, r"(?s)^---\r?\n(.*?)\n\r?---(?=\r|\n|$)", 1)
     has_front = body.rlike(r"(?s)^---\r?\n.*?\n\r?---(?=\r|\n|$)")
     rest = F.when(has_front, F.regexp_replace(body, r"(?s)^---\r?\n.*?\n\r?---(?:\r\n|\n)?", "")).otherwise(body)
     head = F.when(has_front & (front != ""), F.concat(F.lit("frontmatter:\n"), F.array_join(F.transform(F.split(front, "\n", -1), lambda x: F.concat(F.rtrim(x, F.lit(" \t")), F.lit("\n"))), ""))).otherwise("")
-    # a last line end opens no line
-    rows = F.split(F.regexp_replace(F.regexp_replace(rest, r"\r(?=\n|$)", ""), r"\n$", ""), "\n", -1)
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("inside"))
+    # a last line end opens no line; the first line has a line end before it, as every other
+    rest = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(rest, r"\r(?=\n|\z)", ""), r"\n\z", ""))
+    parts = F.split(rest, r"\n(?=[ \t\x0B\f\r]*(?:```|~~~))", -1)
+
+    def trimmed(x: Column) -> Column:
+        return F.regexp_replace(x, r"^\s+|\s+$", "")
 
     def links(x: Column, pattern: str, label: str) -> Column:
         return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(pattern), 1), lambda t: F.concat(F.lit(label), t, F.lit("\n"))), "")
 
-    def step(a: Column, x: Column) -> Column:
-        t = F.trim(F.regexp_replace(x, r"^[\s]+|[\s]+$", ""))
-        fence = t.startswith("```") | t.startswith("~~~")
-        text = (
-            F.when(fence, F.concat(F.lit("fence:"), F.trim(F.regexp_replace(t, "^[`~]+", "")), F.lit("\n")))
-            .when(a["inside"], F.concat(F.lit("code:"), F.rtrim(x, F.lit(" \t")), F.lit("\n")))
-            .otherwise(
-                F.concat(
-                    F.when(t.startswith("#"), F.concat(F.lit("heading:"), F.trim(F.regexp_replace(t, "^#+", "")), F.lit("\n"))).otherwise(""),
-                    links(x, _BODY["inline"], "link:"),
-                    links(x, _BODY["ref"], "reflink:"),
-                )
-            )
-        )
-        return F.struct(F.concat(a["out"], text).alias("out"), (a["inside"] != fence).alias("inside"))
+    def line(x: Column, inside: Column) -> Column:
+        t = trimmed(x)
+        heading = F.when(t.startswith("#"), F.concat(F.lit("heading:"), F.trim(F.regexp_replace(t, "^#+", "")), F.lit("\n"))).otherwise("")
+        prose = F.concat(heading, links(x, _BODY["inline"], "link:"), links(x, _BODY["ref"], "reflink:"))
+        return F.when(inside, F.concat(F.lit("code:"), F.rtrim(x, F.lit(" \t")), F.lit("\n"))).otherwise(prose)
+
+    def part(x: Column, k: Column) -> Column:
+        rows = F.split(x, "\n", -1)
+        fence = F.when(k > 0, F.concat(F.lit("fence:"), F.trim(F.regexp_replace(trimmed(rows[0]), "^[`~]+", "")), F.lit("\n"))).otherwise("")
+        return F.concat(fence, F.array_join(F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda y: line(y, k % 2 == 1)), ""))
 
-    return F.sha2(F.concat(head, F.aggregate(rows, start, step)["out"]), 256)
+    return F.sha2(F.concat(head, F.array_join(F.transform(parts, part), "")), 256)
 
 
 def take(files: DataFrame) -> DataFrame:

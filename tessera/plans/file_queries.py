@@ -21,10 +21,11 @@ TEST_TS = "regexp_matches(path, '\\.(test|spec)\\.tsx?$')"
 TEST_PY = "regexp_matches(path, '/test_[^/]*\\.py$')"
 RULES = [
     {"id": "docs", "when": ["web/**/*.ts"], "expect_any": ["docs/never/*.md"], "severity": "warn", "message": "say so", "suggested_commands": ["make docs"]},
-    {"id": "schema", "when": ["sql/*.sql", "sql/*.proto"], "expect_any": ["data/f?.json"], "severity": "error", "message": "regenerate", "suggested_commands": ["make gen"]},
+    {"id": "schema", "when": ["sql/*.sql", "sql/*.proto"], "expect_any": ["data/g?.json"], "severity": "error", "message": "regenerate", "suggested_commands": ["make gen"]},
+    {"id": "met", "when": ["sql/*.sql"], "expect_any": ["data/f?.json"], "severity": "error", "message": "is there", "suggested_commands": ["make none"]},
     {"id": "quiet", "when": ["nothing/**"], "expect_any": ["x"], "severity": "warn", "message": "m", "suggested_commands": []},
 ]
-WHEN = {"docs": "regexp_matches(path, '^web/(?:.*/)?[^/]*\\.ts$')", "schema": "regexp_matches(path, '^sql/[^/]*\\.(sql|proto)$')"}
+WHEN = {"docs": "regexp_matches(path, '^web/(?:.*/)?[^/]*\\.ts$')", "schema": "regexp_matches(path, '^sql/[^/]*\\.(sql|proto)$')", "met": "regexp_matches(path, '^sql/[^/]*\\.sql$')"}
 
 
 def repo(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,7 @@ def evidence(spark, d):
     return X.evidence(repo(spark, d))[0].select("id", "label")
 
 
-@query("rule_file_theta", f"SELECT 'docs' AS rule, path FROM {{repo}} WHERE {WHEN['docs']} UNION ALL SELECT 'schema', path FROM {{repo}} WHERE {WHEN['schema']}")
+@query("rule_file_theta", f"SELECT 'docs' AS rule, path FROM {{repo}} WHERE {WHEN['docs']} UNION ALL SELECT 'schema', path FROM {{repo}} WHERE {WHEN['schema']} UNION ALL SELECT 'met', path FROM {{repo}} WHERE {WHEN['met']}")
 def rule_file_theta(spark, d):
     return R.theta(repo(spark, d), RULES, "when")
 
@@ -118,15 +119,30 @@ def glob_match(spark, d):
     return repo(spark, d).select("path", matches_any(F.col("path"), ["docs/**/*-0??.md"]).alias("a"), matches_any(F.col("path"), ["web/*"]).alias("b"))
 
 
-@query("rule_evaluate", f"WITH c AS (SELECT path FROM {{repo}} WHERE length(path) % 3 = 0) SELECT 'docs' AS rule, path AS triggered FROM c WHERE {WHEN['docs']} UNION ALL SELECT 'schema', path FROM c WHERE {WHEN['schema']} AND NOT EXISTS (SELECT 1 FROM c WHERE regexp_matches(path, '^data/f[^/]\\.json$'))")
+FIRED = f"""SELECT 'docs' AS rule, 'warn' AS severity, 'make docs' AS command, path FROM {{repo}} WHERE {WHEN['docs']} AND NOT EXISTS (SELECT 1 FROM {{repo}} WHERE regexp_matches(path, '^docs/never/[^/]*\\.md$'))
+UNION ALL SELECT 'schema', 'error', 'make gen', path FROM {{repo}} WHERE {WHEN['schema']} AND NOT EXISTS (SELECT 1 FROM {{repo}} WHERE regexp_matches(path, '^data/g[^/]\\.json$'))
+UNION ALL SELECT 'met', 'error', 'make none', path FROM {{repo}} WHERE {WHEN['met']} AND NOT EXISTS (SELECT 1 FROM {{repo}} WHERE regexp_matches(path, '^data/f[^/]\\.json$'))"""
+
+
+@query("rule_evaluate", f"SELECT rule, path AS triggered FROM ({FIRED})")
 def rule_evaluate(spark, d):
-    found = R.evaluate(repo(spark, d).where("length(path) % 3 = 0"), RULES)
+    found = R.evaluate(repo(spark, d), RULES)
     return found.select("rule", F.explode("triggered_by").alias("triggered"))
 
 
-@query("edge_breakage", f"WITH c AS (SELECT path FROM {{repo}} WHERE length(path) % 3 = 0), f AS (SELECT 'docs' AS rule WHERE EXISTS (SELECT 1 FROM c WHERE {WHEN['docs']}) UNION ALL SELECT 'schema' WHERE EXISTS (SELECT 1 FROM c WHERE {WHEN['schema']}) AND NOT EXISTS (SELECT 1 FROM c WHERE regexp_matches(path, '^data/f[^/]\\.json$'))) SELECT count(*) AS broken, 3::BIGINT AS rules, round(count(*) / 3, 6) AS score FROM f")
+@query("edge_breakage", f"SELECT count(DISTINCT rule) AS broken, 4::BIGINT AS rules, round(count(DISTINCT rule) / 4, 6) AS score FROM ({FIRED})")
 def edge_breakage(spark, d):
-    return M.edge_breakage(R.evaluate(repo(spark, d).where("length(path) % 3 = 0"), RULES), len(RULES)).withColumn("score", F.round("score", 6))
+    return M.edge_breakage(R.evaluate(repo(spark, d), RULES), len(RULES)).withColumn("score", F.round("score", 6))
+
+
+@query("worst_severity", f"SELECT max(severity) FILTER (severity = 'error') AS severity, count(*) FILTER (severity = 'error') > 0 AS blocks FROM ({FIRED})")
+def worst_severity(spark, d):
+    return R.worst(R.evaluate(repo(spark, d), RULES)).select("severity", (F.col("exit_code") == 1).alias("blocks"))
+
+
+@query("suggested_commands", f"SELECT DISTINCT command FROM ({FIRED})")
+def suggested_commands(spark, d):
+    return R.suggested(R.evaluate(repo(spark, d), RULES)).select("command")
 
 
 @query("schema_entities", "WITH m AS (SELECT path, unnest(regexp_extract_all(body, '(?im)^\\s*CREATE(?:\\s+OR\\s+REPLACE)?\\s+(?:MATERIALIZED\\s+VIEW|TABLE|VIEW|TYPE)\\s+(?:IF\\s+NOT\\s+EXISTS\\s+)?(?:[A-Za-z0-9_]+\\.)?[\"`]?([A-Za-z_][A-Za-z0-9_]*)', 1)) AS n FROM {repo} WHERE path LIKE '%.sql' UNION ALL SELECT path, unnest(regexp_extract_all(body, '(?m)^\\s*(?:message|enum|service)\\s+([A-Za-z_]\\w*)', 1)) FROM {repo} WHERE path LIKE '%.proto' UNION ALL SELECT path, unnest(regexp_extract_all(body, '(?m)^\\s*(?:type|input|interface|enum|union)\\s+([A-Za-z_]\\w*)', 1)) FROM {repo} WHERE path LIKE '%.graphql') SELECT DISTINCT concat('file:', path) AS src, concat('data_model:', " + SLUG.format("n") + ") AS dst FROM m")
@@ -239,28 +255,39 @@ def kind_classify(spark, d):
 C_HASH = "sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '/\\*[\\s\\S]*?\\*/', '', 'g'), '//[^\\n]*', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\s*\\n', chr(10), 'g'), concat(' ', chr(9), chr(10), chr(13))))"
 
 
-@query("code_semantic_hash", f"SELECT path, {C_HASH.format('body')} AS h FROM {{repo}} WHERE regexp_matches(path, '\\.(tsx?|sql)$')")
+PY_HASH = C_HASH.replace("/\\*[\\s\\S]*?\\*/", "\"\"\"[\\s\\S]*?\"\"\"|''''''[\\s\\S]*?''''''").replace("//[^\\n]*", "#[^\\n]*")
+# front matter, then lines numbered: a fence line, a line of code (an odd number of fences before it) or prose
+MD_HASH = """WITH f AS (SELECT path, body, regexp_matches(body, '^---\n[\s\S]*?\n---(\n|$)') AS has FROM {%s} WHERE regexp_matches(lower(path), '\.(md|markdown)$')),
+r AS (SELECT path, CASE WHEN has THEN concat('frontmatter:', chr(10), array_to_string(list_transform(string_split(regexp_extract(body, '^---\n([\s\S]*?)\n---(\n|$)', 1), chr(10)), lambda x: concat(rtrim(x, concat(' ', chr(9))), chr(10))), '')) ELSE '' END AS head, string_split(regexp_replace(CASE WHEN has THEN regexp_replace(body, '^---\n[\s\S]*?\n---(\n|$)', '') ELSE body END, '\n$', ''), chr(10)) AS xs FROM f),
+l AS (SELECT path, head, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM r), t AS (SELECT *, trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS t FROM l), g AS (SELECT *, CASE WHEN t LIKE '```%%' OR t LIKE '~~~%%' THEN 1 ELSE 0 END AS fence FROM t),
+o AS (SELECT path, head, i, CASE WHEN fence = 1 THEN concat('fence:', trim(regexp_replace(t, '^[`~]+', '')), chr(10)) WHEN sum(fence) OVER (PARTITION BY path ORDER BY i) %% 2 = 1 THEN concat('code:', rtrim(x, concat(' ', chr(9))), chr(10))
+ELSE concat(CASE WHEN t LIKE '#%%' THEN concat('heading:', trim(regexp_replace(t, '^#+', '')), chr(10)) ELSE '' END, array_to_string(list_transform(regexp_extract_all(x, '\[[^\]]*\]\(([^) \t\n\f\r]+)', 1), lambda u: concat('link:', u, chr(10))), ''), array_to_string(list_transform(regexp_extract_all(x, '^\[[^\]]+\]:[ \t\n\f\r]*([^ \t\n\f\r]+)', 1), lambda u: concat('reflink:', u, chr(10))), '')) END AS piece FROM g)
+SELECT path, sha256(concat(any_value(head), string_agg(piece, '' ORDER BY i))) AS h FROM o GROUP BY path"""
+
+
+@query("code_semantic_hash", f"SELECT path, CASE WHEN path LIKE '%.py' THEN {PY_HASH.format('body')} ELSE {C_HASH.format('body')} END AS h FROM {{repo}} WHERE regexp_matches(path, '\.(tsx?|sql|py)$')")
 def code_semantic_hash(spark, d):
-    return S.take(repo(spark, d).where("path RLIKE '[.](tsx?|sql)$'")).select("path", F.col("semantic_hash").alias("h"))
+    return S.take(repo(spark, d).where("path RLIKE '[.](tsx?|sql|py)$'")).select("path", F.col("semantic_hash").alias("h"))
 
 
-@query("md_semantic_hash", None)
+@query("md_semantic_hash", MD_HASH % "repo")
 def md_semantic_hash(spark, d):
-    return S.take(repo(spark, d).where(X.is_markdown())).select("path", "semantic_hash")
+    return S.take(repo(spark, d).where(X.is_markdown())).select("path", F.col("semantic_hash").alias("h"))
 
 
-SNAP = "SELECT path, sha256(body) AS c, CASE WHEN path LIKE '%.ts' THEN " + C_HASH.format("body") + " ELSE sha256(body) END AS s FROM {%s} WHERE path LIKE '%%.ts' OR path LIKE '%%.txt'".replace("%%", "%")
+SNAP = f"SELECT f.path, sha256(body) AS c, CASE WHEN f.path LIKE '%%.ts' THEN {C_HASH.format('body')} WHEN f.path LIKE '%%.py' THEN {PY_HASH.format('body')} WHEN f.path LIKE '%%.md' THEN m.h ELSE sha256(body) END AS s FROM {{%s}} f LEFT JOIN ({MD_HASH}) m ON m.path = f.path"
+SNAPS = f"b AS ({SNAP % ('files_base', 'files_base')}), c AS ({SNAP % ('files_current', 'files_current')})"
 
 
-@query("snapshot_diff", f"WITH b AS ({SNAP.replace('%s', 'files_base')}), c AS ({SNAP.replace('%s', 'files_current')}) SELECT * FROM (SELECT coalesce(b.path, c.path) AS path, CASE WHEN b.c IS NULL THEN 'added' WHEN c.c IS NULL THEN 'removed' WHEN b.s <> c.s THEN 'semantic_changed' WHEN b.c <> c.c THEN 'semantic_noop' END AS change_type FROM b FULL JOIN c ON b.path = c.path) WHERE change_type IS NOT NULL")
+@query("snapshot_diff", f"WITH {SNAPS} SELECT * FROM (SELECT coalesce(b.path, c.path) AS path, CASE WHEN b.c IS NULL THEN 'added' WHEN c.c IS NULL THEN 'removed' WHEN b.s <> c.s THEN 'semantic_changed' WHEN b.c <> c.c THEN 'semantic_noop' END AS change_type FROM b FULL JOIN c ON b.path = c.path) WHERE change_type IS NOT NULL")
 def snapshot_diff(spark, d):
-    base, now = (S.take(frame(spark, d, n).where("path LIKE '%.ts' OR path LIKE '%.txt'")) for n in ("files_base", "files_current"))
+    base, now = (S.take(frame(spark, d, n)) for n in ("files_base", "files_current"))
     return S.diff(base, now)
 
 
-@query("semantic_movement", None)
+@query("semantic_movement", f"WITH {SNAPS} SELECT count(*) AS total, count(*) FILTER (b.c IS NULL OR b.s <> c.s) AS semantic, count(*) FILTER (b.s = c.s AND b.c <> c.c) AS noop, round(count(*) FILTER (b.c IS NULL OR b.s <> c.s) / count(*), 6) AS score FROM c LEFT JOIN b ON b.path = c.path WHERE c.path LIKE '%.md'")
 def semantic_movement(spark, d):
-    return M.semantic_movement(S.take(frame(spark, d, "files_base")), S.take(frame(spark, d, "files_current")))
+    return M.semantic_movement(S.take(frame(spark, d, "files_base")), S.take(frame(spark, d, "files_current"))).withColumn("score", F.round("score", 6))
 
 
 @query("semantic_changes", "SELECT c.path, CASE WHEN b.body IS NULL THEN 'semantic' ELSE 'noop' END AS change FROM {files_current} c LEFT JOIN {files_base} b ON b.path = c.path WHERE c.path LIKE '%.md' AND (b.body IS NULL OR b.body <> c.body)")
@@ -301,7 +328,7 @@ def truth_alignment(spark, d):
     return M.truth_alignment(empty, edges, was, now).where("relation = 'mentions'").select("direction", "authority_doc", "artifact")
 
 
-@query("orphaned_aliases", "SELECT DISTINCT path AS file, n AS name FROM {repo}, (SELECT concat('rate_', s_suppkey) AS n FROM supplier WHERE s_suppkey < 25 AND s_suppkey % 2 = 0) WHERE regexp_matches(path, '\\.(ts|tsx|json)$') AND contains(body, n)")
+@query("orphaned_aliases", "SELECT DISTINCT path AS file, n AS name FROM {repo}, (SELECT concat('rate_', s_suppkey) AS n FROM supplier WHERE s_suppkey % 2 = 0) WHERE regexp_matches(path, '\\.(ts|tsx|json)$') AND contains(body, n)")
 def orphaned_aliases(spark, d):
     files = repo(spark, d)
     base = X.metrics(files)[0]
@@ -431,6 +458,35 @@ def slugs(spark, d):
     return frame(spark, d, "part").select(F.col("p_partkey").alias("id"), P.slugify("p_name").alias("slug"))
 
 
+GO = "SELECT path, body, regexp_extract(body, '(?m)^package (\\w+)', 1) AS pkg FROM {go_repo} WHERE path LIKE '%.go' AND path NOT LIKE '%\\_test.go' ESCAPE '\\'"
+GO_NAME = "concat('code_symbol:', pkg, '.', name)"
+
+
+@query("go_edges", f"""WITH g AS ({GO}), n AS (SELECT path, pkg, unnest(regexp_extract_all(body, '(?m)^(?:func|type|const|var) ([A-Z]\\w*)', 1)) AS name FROM g), i AS (SELECT path, unnest(regexp_extract_all(body, '"ex\\.org/m/([^"]+)"', 1)) AS dir FROM g)
+SELECT DISTINCT 'defines' AS kind, concat('file:', path) AS src, {GO_NAME} AS dst FROM n UNION SELECT 'defines', concat('file:', path), concat('endpoint:GET:', regexp_extract(body, 'mux\\.Get\\("([^"]+)"', 1)) FROM g
+UNION SELECT 'depends_on', concat('file:', path), concat('dir:', dir) FROM i WHERE dir IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM {{go_repo}}) UNION SELECT 'implements', concat('code_symbol:', pkg, '.', regexp_extract(body, 'func (Run\\d+)', 1)), concat('us:', regexp_extract(body, 'implements (US-\\d+)', 1)) FROM g""")
+def go_edges(spark, d):
+    return golang.symbols(frame(spark, d, "go_repo"))[1].select("kind", "src", "dst").distinct()
+
+
+@query("go_symbols", f"SELECT DISTINCT {GO_NAME} AS id, concat(pkg, '.', name) AS label, path FROM (SELECT path, pkg, unnest(regexp_extract_all(body, '(?m)^(?:func|type|const|var) ([A-Z]\\w*)', 1)) AS name FROM ({GO}))")
+def go_symbols(spark, d):
+    return golang.symbols(frame(spark, d, "go_repo"))[0].where("kind = 'code_symbol'").select("id", "label", "path").distinct()
+
+
+@query("go_calls", f"""WITH g AS ({GO}), n AS (SELECT pkg, unnest(regexp_extract_all(body, '(?m)^func (\\w+)\\(', 1)) AS name FROM g),
+c AS (SELECT pkg AS from_pkg, regexp_extract(body, 'func (Run\\d+)', 1) AS from_func, pkg AS to_pkg, regexp_extract(body, '(?m)^\\t(helper\\d+)', 1) AS to_func, path AS file FROM g UNION ALL SELECT pkg, regexp_extract(body, 'func (Run\\d+)', 1), regexp_extract(body, '(?m)^\\t(pkg\\d+)\\.', 1), regexp_extract(body, '\\.(Run\\d+)', 1), path FROM g
+UNION ALL SELECT pkg, concat(regexp_extract(body, '\\*(T\\d+)\\)', 1), '::', regexp_extract(body, '(Do\\d+)', 1)), pkg, regexp_extract(body, '{{ (helper\\d+)', 1), path FROM g) SELECT c.* FROM c SEMI JOIN n ON n.pkg = c.to_pkg AND n.name = c.to_func""")
+def go_calls(spark, d):
+    return golang.call_graph(frame(spark, d, "go_repo"))[1].select("from_pkg", "from_func", "to_pkg", "to_func", "file")
+
+
+@query("node_selector", "SELECT id FROM {nodes_current} WHERE kind IN ('file', 'user_story') AND id LIKE 'file:%' AND path LIKE 'src/%7%.py' AND contains(lower(label), 'medium') AND id IN (SELECT dst FROM {edges_current} WHERE kind = 'verifies') AND id IN (SELECT src FROM {edges_current} WHERE kind = 'implements')")
+def node_selector(spark, d):
+    nodes, edges = frame(spark, d, "nodes_current"), frame(spark, d, "edges_current")
+    return E.select_nodes(nodes, edges, id_prefix="file:", path_glob="src/*7*.py", path_contains="7", extensions=[".PY"], label_contains="Medium", incoming="verifies", outgoing="implements", kinds=("file", "user_story")).select("id")
+
+
 @query("virtual_graph", None)
 def virtual_graph(spark, d):
     """All passes over the virtual repository: counts by kind."""

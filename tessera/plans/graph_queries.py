@@ -324,6 +324,36 @@ def verdicts(spark, d):
     return V.judge(facts).select("id", "verdict", F.array_join("active_meters", ",").alias("active"))
 
 
+# each branch of the verdict holds for some parts and, with another one, for others
+_FLAG = "(p_partkey % 25 = {0} OR p_size % 25 = {0})"
+_COUNTS = {"broken_rules": 0, "uncovered_stories": 1, "contradictions": 2, "newly_orphaned_concepts": 6, "newly_unsupported_claims": 10, "stale_decisions": 11, "broken_chains": 12, "cycles": 13, "orphan_endpoints": 14, "newly_orphaned_endpoints": 15, "unimplemented": 16, "broken_links": 17, "unknown_ids": 18, "stale_tests": 19, "truth_conflicts": 20, "orphaned_aliases": 21, "dangling_imports": 22, "callsite_score": 23, "dead_code": 24}
+_SCORES = {"neighborhood_score": (3, 2.0), "semantic_score": (4, 0.05), "path_loss_score": (5, 0.5), "blast_score": (7, 10.0), "staleness_score": (8, 0.25), "claim_score": (9, 0.5)}
+BRANCHES = (
+    "SELECT p_partkey AS id, p_partkey % 4 <> 0 AS base_available, p_size % 2 AS stories, p_size % 3 AS concepts, p_size % 4 AS files, p_partkey % 3 AS claims, p_partkey % 2 = 0 AS path_loss_convention, p_partkey % 7 > 3 AS claim_convention, p_size % 5 > 1 AS endpoint_convention, p_size % 6 > 1 AS implements_convention, "
+    + ", ".join([f"CASE WHEN {_FLAG.format(i)} THEN 1 ELSE 0 END AS {n}" for n, i in _COUNTS.items()] + [f"CASE WHEN {_FLAG.format(i)} THEN CAST({v} AS DOUBLE) ELSE CAST({v} AS DOUBLE) - 0.01 END AS {n}" for n, (i, v) in _SCORES.items()])
+    + " FROM {part}"
+)
+_HOLDS = """base_available AND neighborhood_score >= 2 AS a3, base_available AND semantic_score >= 0.05 AS a4, concepts > 0 AND path_loss_convention AND path_loss_score >= 0.5 AS a5, base_available AND blast_score >= 10 AS a7, files > 0 AND staleness_score >= 0.25 AS a8,
+claims > 0 AND claim_convention AND claim_score >= 0.5 AS a9, stories > 0 AND uncovered_stories > 0 AS a1, endpoint_convention AND orphan_endpoints > 0 AS a14, implements_convention AND unimplemented > 0 AS a16"""
+
+
+@query(
+    "verdict_branches",
+    f"""SELECT id, CASE WHEN broken_rules > 0 OR a1 OR contradictions > 0 THEN 'warn' WHEN a3 OR a4 OR a5 OR newly_orphaned_concepts > 0 OR a7 OR a8 OR a9 OR newly_unsupported_claims > 0 OR stale_decisions > 0 OR broken_chains > 0 THEN 'telemetry' WHEN cycles > 0 THEN 'warn'
+WHEN a14 OR newly_orphaned_endpoints > 0 OR a16 OR broken_links > 0 OR unknown_ids > 0 OR stale_tests > 0 OR truth_conflicts > 0 OR orphaned_aliases > 0 THEN 'telemetry' WHEN dangling_imports > 0 THEN 'warn' ELSE 'clean' END AS verdict,
+concat_ws(',', CASE WHEN broken_rules > 0 THEN 'required_edge_breakage' END, CASE WHEN a1 THEN 'trace_coverage' END, CASE WHEN a3 THEN 'neighborhood_drift' END, CASE WHEN a4 THEN 'semantic_movement' END, CASE WHEN a5 OR newly_orphaned_concepts > 0 THEN 'path_loss' END, CASE WHEN a7 THEN 'blast_radius' END, CASE WHEN a8 THEN 'staleness' END,
+CASE WHEN a9 OR newly_unsupported_claims > 0 THEN 'claim_support' END, CASE WHEN contradictions > 0 THEN 'contradiction' END, CASE WHEN stale_decisions > 0 THEN 'stale_decision_links' END, CASE WHEN broken_chains > 0 THEN 'broken_implements_chains' END, CASE WHEN cycles > 0 THEN 'dependency_cycles' END, CASE WHEN a14 OR newly_orphaned_endpoints > 0 THEN 'orphan_endpoints' END, CASE WHEN a16 THEN 'unimplemented_stories' END,
+CASE WHEN broken_links > 0 THEN 'broken_links' END, CASE WHEN unknown_ids > 0 THEN 'unknown_id_references' END, CASE WHEN stale_tests > 0 THEN 'stale_tests' END, CASE WHEN truth_conflicts > 0 THEN 'truth_alignment' END, CASE WHEN orphaned_aliases > 0 THEN 'orphaned_metric_aliases' END, CASE WHEN dangling_imports > 0 THEN 'dangling_imports' END, CASE WHEN callsite_score > 0 THEN 'callsite_blast_radius' END, CASE WHEN dead_code > 0 THEN 'dead_code' END) AS active,
+concat_ws(',', CASE WHEN concepts > 0 AND NOT path_loss_convention AND path_loss_score >= 0.5 THEN 'path_loss' END, CASE WHEN claims > 0 AND NOT claim_convention AND claim_score >= 0.5 THEN 'claim_support' END, CASE WHEN orphan_endpoints > 0 AND NOT endpoint_convention THEN 'orphan_endpoints' END) AS silenced
+FROM (SELECT *, {_HOLDS} FROM ({BRANCHES}))""",
+)
+def verdict_branches(spark, d):
+    from .virtual import expand
+
+    facts = spark.sql(expand(BRANCHES, lambda t: f"parquet.`{d}/{t}.parquet`"))
+    return V.judge(facts).select("id", "verdict", F.array_join("active_meters", ",").alias("active"), F.array_join("silenced_meters", ",").alias("silenced"))
+
+
 @query("regressions", f"SELECT 'newly_uncovered_story' AS kind, c.id, concat('re-link ', c.id, ' from a spec, README, or evidence packet so the trace coverage holds') AS suggested_action FROM ({TRACE % ('edges_current', 'edges_current', 'nodes_current')}) c JOIN ({TRACE % ('edges_base', 'edges_base', 'nodes_base')}) b ON c.id = b.id WHERE b.good AND NOT c.good")
 def regressions(spark, d):
     moved = M.transitions(M.trace_state(*_base(spark, d)), M.trace_state(*_now(spark, d)))

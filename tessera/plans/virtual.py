@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .virtual_repo import REPO
+from .virtual_repo import GO_REPO, REPO
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -67,6 +67,7 @@ VIRTUAL = {
     "arcs": "SELECT DISTINCT 'depends_on' AS kind, concat('file:', p_brand, '/', CAST(p_size AS VARCHAR(20)), '.go') AS src, concat('dir:', substring(p_type, 1, 3)) AS dst FROM {part} UNION ALL SELECT DISTINCT 'depends_on', concat('file:', substring(p_type, 1, 3), '/', CAST(p_size AS VARCHAR(20)), '.go'), concat('dir:', p_brand) FROM {part} WHERE p_partkey % 11 = 0",
     "runs": "SELECT CAST(l.doc_id AS VARCHAR(20)) AS run_id, concat('ADV-', CAST(l.doc_id % 23 AS VARCHAR(20))) AS mutation_id, CASE WHEN l.toxic = 1 THEN 'm1' ELSE 'm2' END AS expected1, concat('m', CAST(l.doc_id % 4 AS VARCHAR(20))) AS expected2, CASE WHEN l.quality = 1 THEN 'm1' ELSE 'm3' END AS actual1, concat('m', CAST(l.doc_id % 3 AS VARCHAR(20))) AS actual2, CASE WHEN l.doc_id % 31 = 0 THEN 1 ELSE 0 END AS skip, coalesce(d.source, 'none') AS category, d.lang AS lang FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",
     "repo": REPO,
+    "go_repo": GO_REPO,
 }
 
 
