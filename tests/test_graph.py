@@ -300,3 +300,54 @@ def test_graph_queries_over_all_of_lineitem(spark):
     changes = {r["change"] for r in run["graph_diff"](spark, d).select("change").distinct().collect()}
     assert changes == {"added", "removed"}
     assert run["flagship"](spark, d).count() == 1
+
+
+def test_orphaned_aliases_at_any_place(spark):
+    """Labels within longer words, over several runs of characters, and of other characters only."""
+    from tessera.operators import meters
+
+    node = "id string, kind string, label string"
+    names = ["rate_1", "a.b-long", "??", "kept", "é_x"]
+    base = spark.createDataFrame([(f"m:{n}", "metric", n) for n in names], node)
+    now = spark.createDataFrame([("m:kept", "metric", "kept")], node)
+    files = spark.createDataFrame(
+        [("a.ts", "use(rate_12) kept"), ("b.tsx", "x a.b-long y"), ("c.js", "long but a.b alone"), ("d.json", "what???"), ("e.py", "rate_1"), ("f.ts", ""), ("g.ts", None), ("h.ts", "cafeé_xy")],
+        "path string, body string",
+    )
+    found = {tuple(r) for r in meters.orphaned_aliases(base, now, files).collect()}
+    bodies = {r.path: r.body or "" for r in files.collect() if not r.path.endswith(".py")}
+    assert found == {(p, n) for p, b in bodies.items() for n in names if n != "kept" and n in b}
+    assert meters.orphaned_aliases(now, now, files).count() == 0
+
+
+def test_markdown_hash_fences_in_order(spark):
+    """The text is split before fence lines: state, content and a last line end as line by line."""
+    import hashlib
+
+    from tessera.operators.snapshot import markdown_hash
+
+    texts = ["```\n# a\n```\n# b", "# x\n\n  ~~~ py\n[l](t)\n~~~\n[l](t)\n[r]: u", "", "\n", "a\n\n", "```\n\n\n", "---\nk: v  \n---\n# h\r\n```\r\n c \r\n"]
+
+    def plain(body):
+        out, inside = "", False
+        if body.startswith("---\n"):
+            front, body = body[4:].split("\n---\n", 1)
+            out = "frontmatter:\n" + "".join(x.rstrip(" \t") + "\n" for x in front.split("\n"))
+        body = body.replace("\r\n", "\n")
+        for x in (body[:-1] if body.endswith("\n") else body).split("\n"):
+            t = x.strip()
+            if t.startswith(("```", "~~~")):
+                out, inside = out + f"fence:{t.lstrip('`~').strip()}\n", not inside
+            elif inside:
+                out += f"code:{x.rstrip(chr(32) + chr(9))}\n"
+            else:
+                out += f"heading:{t.lstrip('#').strip()}\n" if t.startswith("#") else ""
+                out += "link:t\n" if "(t)" in x else ""
+                out += "reflink:u\n" if x.startswith("[r]:") else ""
+        return hashlib.sha256(out.encode()).hexdigest()
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string")
+    from pyspark.sql import functions as F
+
+    got = {r.i: r.h for r in rows.select("i", markdown_hash(F.col("body")).alias("h")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
