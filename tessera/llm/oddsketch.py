@@ -207,6 +207,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.join(wanted.select("class"), "class", "left_semi").mapInArrow(run, "class long, set binary")
 
 
+def _runs(rows: np.ndarray, size: np.ndarray, limit: int) -> list[np.ndarray]:
+    """``rows`` in runs that hold at most ``limit`` shingles, or one row."""
+    out, lo, total = [], 0, 0
+    for k, r in enumerate(rows):
+        if k > lo and total + size[r] > limit:
+            out.append(rows[lo:k])
+            lo, total = k, 0
+        total += size[r]
+    return [*out, rows[lo:]] if len(rows) else out
+
+
 def _rest(members: DataFrame, known: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between the components that still meet in a bucket, compared in blocks."""
     own = members.join(known, members["class"] == known["node"], "left").select("bucket", "class", F.coalesce("component", "class").alias("component"))
@@ -224,17 +235,33 @@ def _rest(members: DataFrame, known: DataFrame, classes: DataFrame, sets: DataFr
         comp, n = table.column("component").to_numpy().copy(), table.column("n_shingles").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         hold = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
-        left = np.flatnonzero(part == i)
+        long = np.array([len(s) for s in hold], np.int64)
+        runs = {c: _runs(np.flatnonzero(part == c), long, 1 << 20) for c in {i, j}}
         a, b = [], []
-        for x in left:
-            after = np.flatnonzero(((part == j) if i != j else (np.arange(len(part)) > x)) & (comp != comp[x]))
-            after = after[(100 * np.minimum(n[after], n[x]) >= percent * np.maximum(n[after], n[x]))]
-            after = after[np.bitwise_count(sketch[after] ^ sketch[x]).sum(1) <= limit]
-            for y in after:
-                if comp[y] != comp[x] and _linked(hold[x], hold[y], percent):
-                    a.append(int(name[x]))
-                    b.append(int(name[y]))
-                    comp[comp == comp[y]] = comp[x]
+        for p, left in enumerate(runs[i]):
+            for right in runs[j][p if i == j else 0 :]:
+                # every shingle of the two runs gets a number; those of x are marked and counted in the others
+                names = np.unique(np.concatenate([hold[x] for x in (*left, *right)]))
+                number = {int(y): np.searchsorted(names, hold[y]) for y in (*left, *right)}
+                mark = np.zeros(len(names), bool)
+                for x in left.tolist():
+                    after = right[comp[right] != comp[x]]
+                    if i == j:
+                        after = after[after > x]
+                    after = after[100 * np.minimum(n[after], n[x]) >= percent * np.maximum(n[after], n[x])]
+                    after = after[np.bitwise_count(sketch[after] ^ sketch[x]).sum(1) <= limit]
+                    if not len(after):
+                        continue
+                    mark[number[x]] = True
+                    held = np.concatenate([[0], np.cumsum(mark[np.concatenate([number[y] for y in after.tolist()])])])
+                    mark[number[x]] = False
+                    ends = np.cumsum(long[after])
+                    both = held[ends] - held[ends - long[after]]
+                    for y in after[100 * both >= percent * (long[x] + long[after] - both)].tolist():
+                        if comp[y] != comp[x]:
+                            a.append(int(name[x]))
+                            b.append(int(name[y]))
+                            comp[comp == comp[y]] = comp[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return full.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
