@@ -320,3 +320,24 @@ def test_pipeline_stages_on_odd_tables(spark, odd, empty, stage):
         assert ids == [-1, 1, 2, 3, 3, 4, 5, 7, 8] and texts[1] is None and texts[5] == LONG
     else:
         assert not {1, 2} & set(ids) and max(ids.count(x) for x in ids) <= 4
+
+
+def test_near_duplicate_blocks(spark):
+    """Copies of copies, compared in small blocks, give what brute force gives."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for k in range(25):
+            words = [w if rng.random() > 0.03 else f"n{g}.{k}.{i}" for i, w in enumerate(words)]
+            rows.append((len(rows) + 1, " ".join(words)))
+    got = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == brute.near(rows)
+
+
+def test_runs_hold_every_row_once():
+    size = np.array([5, 1, 9, 2, 2, 2])
+    runs = oddsketch._runs(np.arange(6), size, 4)
+    assert np.concatenate(runs).tolist() == list(range(6))
+    assert all(len(r) == 1 or size[r].sum() <= 4 for r in runs)
+    assert oddsketch._runs(np.arange(0), size, 4) == []
