@@ -35,7 +35,7 @@ PARTS = 1_000_000_000
 SEPARATORS = "".join(map(chr, [*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
-def count_terms(docs: DataFrame, slice_bytes: int = 1 << 24) -> DataFrame:
+def count_terms(docs: DataFrame, slice_bytes: int = 1 << 23) -> DataFrame:
     """lang, source, term, n (occurrences), docs: sums over slices of a task's documents;
     for each group of a slice also a row without a term."""
     inside = byte_class(SEPARATORS)
