@@ -38,15 +38,15 @@ from .terms import LOWER, UPPER, as_text, byte_class, encode_terms, flat, lists
 K1_MILLI, SCALE, LENGTH_PART, HUNDRED, WEIGHT_SCALE = 20, 1_000_000_000, 50, 100, 1000
 
 SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-#: The terms and what lies between them, for Java.
-TERM, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms, for Java.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FAN = 16
 _LEVEL = 1 << 32
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """N, the documents with a term, and L, the terms of all of them."""
-    n = F.regexp_count("text", F.lit(TERM))
+    n = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN, -1), ""))
     row = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
@@ -81,7 +81,7 @@ def _shard(ids: np.ndarray, null: np.ndarray, codes: np.ndarray, counts: np.ndar
     return {"order": order, "sizes": np.bincount(code, minlength=n_terms), "at": at.astype(np.int32), "impact": impact, "nodes": np.bincount(owners, minlength=n_terms), "ranges": ranges, "bounds": bounds, "best": best}
 
 
-def build_index(docs: DataFrame, size: int, length: int, shard_bytes: int = 1 << 24) -> DataFrame:
+def build_index(docs: DataFrame, size: int, length: int, shard_bytes: int = 1 << 23) -> DataFrame:
     """A row for each shard and term (term, size, best, at, impact, ranges, bounds), and for
     each shard one without a term that holds its doc_ids. A shard's name is its number in the
     task and a fingerprint of what it holds, so a task that runs again names it alike."""
