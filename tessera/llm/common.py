@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import os
@@ -32,17 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+#: Folders of ``materialize`` since the innermost ``passing`` began.
+_PASSING: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Results that operators materialize inside are deleted at its end: for a stage whose own
+    output has been written by then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            remove(spark, path)
+        release(spark)
+
+
 def materialize(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the plan. ``gather``
     lets a task take several shuffle partitions, one after the other, so that small
     tables become a few files for each core and not a file for each partition."""
-    return written(df, new_path(df.sparkSession, label), gather)
+    path = new_path(df.sparkSession, label)
+    if _PASSING:
+        _PASSING[-1].append(path)
+    return written(df, path, gather)
 
 
 def written(df: DataFrame, path: str, gather: bool = False) -> DataFrame:

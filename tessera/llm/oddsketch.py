@@ -18,10 +18,10 @@ chance allows (``sigmas`` standard deviations of the samples). With 32 bands of
 at 0.75 is in no common bucket with probability 5e-6.
 
 Defined results: null text, and text without words, has an empty set and is linked with
-nothing; repeated rows are copies; a row with a null doc_id is compared like any other, and
-as its id counts a number from 2**62 on that follows from its text: the component of such
-rows alone has no id, and of its texts the one with the smallest number is kept. Ids of
-2**62 and above aren't supported; extra columns are ignored."""
+nothing; repeated rows are copies, and rows that share a doc_id one document; a row with a
+null doc_id is compared like any other, comes after all rows with an id, and goes by a number
+that follows from its text: the component of such rows alone has no id, and of its texts the
+one with the smallest number is kept. Any 64-bit value is an id; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -118,13 +118,13 @@ def sketch_limit(percent: int, sigmas: float = 6.0) -> int:
     return min(BITS, int(np.ceil(2 * differ)))
 
 
-NO_ID = 1 << 62
+KEY = "struct<none:boolean,id:bigint>"
 
 
 def key(doc_id: str = "doc_id", text: str = "text"):
-    """What stands for a row: its id or, without one, a number from its text."""
-    number = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    return F.coalesce(F.col(doc_id).cast("long"), number)
+    """What stands for a row: whether it has no id, and its id or a number from its text."""
+    own = F.col(doc_id).cast("long")
+    return F.struct(own.isNull().alias("none"), F.coalesce(own, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("id"))
 
 
 def _measure(docs: DataFrame, width: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _measure(docs: DataFrame, width: int) -> DataFrame:
         trim()
 
     rows = docs.select(F.col("doc_id").cast("long"), key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, sample binary, sketch binary")
+    return rows.mapInArrow(run, f"doc_id long, key {KEY}, n_shingles long, digest binary, sample binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -193,8 +193,8 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """class, set: the shingles of the documents that stand for the wanted classes (of all
-    rows with that doc_id: they are one document)."""
+    """class, set: the shingles of the documents that stand for the wanted classes (class, head;
+    of all rows with that key: they are one document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +203,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 yield pa.RecordBatch.from_arrays([batch.column("class").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
-    rows = docs.where("text IS NOT NULL").select(key().alias("class"), "text")
-    return rows.join(wanted.select("class"), "class", "left_semi").mapInArrow(run, "class long, set binary")
+    rows = docs.where("text IS NOT NULL").select(key().alias("head"), "text")
+    return rows.join(wanted, "head").select("class", "text").mapInArrow(run, "class long, set binary")
 
 
 def _runs(rows: np.ndarray, size: np.ndarray, limit: int) -> list[np.ndarray]:
@@ -273,24 +273,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: i
     with Scratch(docs.sparkSession) as own:
         measured = own.table(_measure(docs, width), "sketches")
         some = measured.where("digest IS NOT NULL")
-        classes = own.table(some.groupBy("digest").agg(F.min("key").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sample").alias("sample"), F.first("sketch").alias("sketch")), "classes", gather=True)
+        # a class goes by a number of its own from here on, as every number may be an id
+        heads = own.table(some.groupBy("digest").agg(F.min("key").alias("head")), "heads", gather=True)
+        numbers = own.table(heads.select("head").distinct().withColumn("class", F.monotonically_increasing_id()), "numbers", gather=True)
+        firsts = some.groupBy("digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("sample").alias("sample"), F.first("sketch").alias("sketch"))
+        classes = own.table(firsts.join(heads.join(numbers, "head"), "digest"), "classes", gather=True)
         # where ids repeat a class may have several sets; it is linked if one of them is
         bands = _bands(classes)
         centre = F.min(F.struct(F.xxhash64(F.col("class"), F.pmod("bucket", F.lit(2))).alias("h"), F.col("class"))).alias("centre")
         shared = bands.groupBy("bucket").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("centre.class").alias("centre"))
         members = own.table(bands.join(shared, "bucket"), "buckets", gather=True)
         pairs = members.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-        wanted = classes.join(members.select("class").distinct(), "class", "left_semi")
+        wanted = numbers.join(members.select("class").distinct(), "class", "left_semi")
         sets = own.table(_sets(docs, wanted, width), "sets", gather=True)
         release(docs.sparkSession)
         links = own.table(_confirm(pairs, classes, sets, percent), "links", gather=True)
-        known = own.table(components(links, "first"), "known", gather=True)
+        known = components(links, own, "first")
         more = own.table(_rest(members.select("bucket", "class").distinct(), known, classes, sets, percent, block), "more-links", gather=True)
         own.drop("sets", "buckets")
         if not more.isEmpty():
-            known = own.table(components(links.unionByName(more), "all"), "all-known", gather=True)
-        found = classes.select("digest", "class").join(known, classes["class"] == known["node"], "left").select("digest", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component"))
-        out = measured.select("doc_id", "key", "n_shingles", "digest").join(found, "digest", "left").withColumn("component", F.coalesce("component", "key"))
-        id_of = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-        result = out.select("doc_id", "n_shingles", id_of("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"), F.coalesce(id_of("class_id"), "doc_id").alias("class_id"), "key")
+            known = components(links.unionByName(more), own, "all")
+        of = classes.select("digest", "head", "class").join(known, classes["class"] == known["node"], "left").select("digest", "head", F.coalesce("component", "class").alias("component"))
+        of = own.table(of, "components-of-classes", gather=True)
+        least = of.groupBy("component").agg(F.min("head").alias("least"))
+        found = of.join(least, "component").select("digest", "head", "least")
+        out = measured.select("doc_id", "key", "n_shingles", "digest").join(found, "digest", "left").withColumn("least", F.coalesce("least", "key"))
+        id_of = lambda c: F.when(~F.col(c)["none"], F.col(c)["id"])
+        result = out.select("doc_id", "n_shingles", id_of("least").alias("component_id"), (F.col("key") == F.col("least")).alias("kept"), F.coalesce(id_of("head"), "doc_id").alias("class_id"), "key")
         return materialize(result, "near-duplicates")

@@ -287,6 +287,19 @@ def test_rows_without_ids_are_compared(spark):
     assert len({r["key"] for r in got if r["kept"]}) == 3
 
 
+def test_every_number_is_an_id(spark):
+    """2**62 and above, negative ids, and rows without one that are like them."""
+    words = [f"w{i}" for i in range(40)]
+    near = lambda k: " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(1 << 62, near(20)), ((1 << 62) + 5, near(39)), ((1 << 63) - 1, near(0)), (-(1 << 63), other), (-7, other), (0, "alone here"), ((1 << 62) + 9, "one more")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near(rows)
+    got = oddsketch.near_duplicates(spark.createDataFrame([*rows, (None, other), (None, "nobody's text"), (None, "nobody's text")], "doc_id long, text string")).collect()
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None and r["n_shingles"] > 1] == [(-(1 << 63), False)]
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None and r["n_shingles"] == 1] == [(None, True)] * 2
+
+
 def test_letters_that_lose_a_byte_go_whole(spark):
     same = "é" * 30
     rows = [(1, "a" + same + "b\ufffdc"), (2, "\u00a9" + same[1:] + "\ufffd" + "x")]
