@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, oddsketch, packing, suffixes
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, passing, remove
 from tessera.llm.queries import table, tokenizer
 
 #: Least part of a text's n-grams that its language's filter must hold.
@@ -99,9 +99,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. When a stage is written, what its operator kept and the output
+    of the stage before are deleted, so that no more than two stages stand at once."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
