@@ -13,12 +13,15 @@ _OWN: dict[str, str] = {}
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` (a temporary one if unset) and read it back.
+    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back. Only on one machine
+    (tests), where that is unset, a temporary folder is made, and removed when Python exits.
 
     The copy outlives executors, and no plan grows from round to round."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if (spark.sparkContext.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="tessera-")

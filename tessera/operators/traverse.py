@@ -66,77 +66,165 @@ def hops(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes on a directed cycle: trim what has no way in or no way out, then keep what reaches itself."""
-    rest = keep(edges.select("src", "dst").distinct(), "arcs")
-    size = rest.count()
+def weak_components(arcs: DataFrame, task_arcs: int) -> tuple[DataFrame, DataFrame, int]:
+    """arcs (src, dst, component), (component, n arcs) and how many tasks of about ``task_arcs`` arcs
+    hold the components that are no larger."""
+    of = components(arcs)
+    own = keep(arcs.join(of.select(F.col("node").alias("src"), "component"), "src").select("src", "dst", "component"), "component-arcs")
+    sizes = keep(own.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component-sizes")
+    small = sizes.where(F.col("n") <= task_arcs).agg(F.sum("n")).first()[0] or 0
+    return own, sizes, max(1, -(-small // task_arcs))
+
+
+def _tarjan(pdf):
+    """node, component (its smallest node) of the strong components of a graph that fits in a task."""
+    import pandas as pd
+
+    after: dict[str, list[str]] = {}
+    for a, b in zip(pdf["src"], pdf["dst"]):
+        after.setdefault(a, []).append(b)
+    number, low, open_, waiting = {}, {}, [], set()
+    out = []
+    for first in after:
+        if first in number:
+            continue
+        number[first] = low[first] = len(number)
+        open_.append(first)
+        waiting.add(first)
+        todo = [(first, iter(after[first]))]
+        while todo:
+            node, rest = todo[-1]
+            nxt = next(rest, None)
+            if nxt is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = [open_.pop()]
+                    while group[-1] != node:
+                        group.append(open_.pop())
+                    waiting.difference_update(group)
+                    least = min(group)
+                    out += [(x, least) for x in group]
+            elif nxt not in number:
+                number[nxt] = low[nxt] = len(number)
+                open_.append(nxt)
+                waiting.add(nxt)
+                todo.append((nxt, iter(after.get(nxt, ()))))
+            elif nxt in waiting:
+                low[node] = min(low[node], number[nxt])
+    return pd.DataFrame(out, columns=["node", "component"])
+
+
+def _spread(labels: DataFrame, arcs: DataFrame, least: bool) -> DataFrame:
+    """Pass labels (node, label) along arcs until none changes: each node's best of all that reach it."""
+    best = F.min if least else F.max
+    pick = F.least if least else F.greatest
     while True:
-        out = rest.select(F.col("src").alias("dst")).distinct()
-        into = rest.select(F.col("dst").alias("src")).distinct()
-        rest = keep(rest.join(out, "dst", "left_semi").join(into, "src", "left_semi"), "arcs")
-        now = rest.count()
-        if now in (size, 0):
-            break
-        size = now
-    # paths double in each round
-    path = keep(rest, "paths")
-    size = path.count()
-    while size:
-        far = path.alias("a").join(path.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        path = keep(path.union(far).distinct(), "paths")
-        now = path.count()
-        if now == size:
-            break
-        size = now
-    return path.where("src = dst").select(F.col("src").alias("node"))
-
-
-def reported_cycles(edges: DataFrame) -> DataFrame:
+        come = arcs.join(labels, arcs["src"] == labels["node"]).groupBy(F.col("dst").alias("at")).agg(best("label").alias("new"))
+        met = labels.join(come, labels["node"] == come["at"], "left").select("node", F.col("label").alias("was"), pick("label", "new").alias("label"))
+        met = keep(met, "labels")
+        labels = met.select("node", "label")
+        if met.where("label <> was").isEmpty():
+            return labels
+
+
+def _by_colours(arcs: DataFrame) -> DataFrame:
+    """Strong components of graphs of any size, forward and backward: each node's colour is the largest
+    node that reaches it; what reaches a colour's own node within the colour is one component.
+    The rest goes on without these, until nothing is left."""
+    left, done = keep(arcs.where("src <> dst").distinct(), "arcs"), None
+    nodes = keep(arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    while not nodes.isEmpty():
+        colour = _spread(nodes.select("node", F.col("node").alias("label")), left, least=False)
+        own = left.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        own = keep(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "turned")
+        # backward from each colour's own node: true spreads
+        back = _spread(colour.select("node", (F.col("node") == F.col("label")).alias("label")), own, least=False)
+        found = keep(back.where("label").select("node").join(colour, "node"), "found")
+        least = found.groupBy("label").agg(F.min("node").alias("component"))
+        now = found.join(least, "label").select("node", "component")
+        done = now if done is None else done.unionByName(now)
+        nodes = keep(nodes.join(found.select("node"), "node", "left_anti"), "nodes")
+        left = keep(left.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "arcs")
+    return done if done is not None else arcs.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+
+
+def strong_components(edges: DataFrame, task_arcs: int = 200_000) -> DataFrame:
+    """node, component: nodes that reach each other share their smallest node.
+
+    Weakly connected parts of up to ``task_arcs`` arcs go to tasks by the bucketful; larger ones
+    are solved by all tasks together, with colours."""
+    arcs = keep(edges.select("src", "dst").distinct(), "arcs")
+    own, sizes, tasks = weak_components(arcs, task_arcs)
+    small = own.join(sizes.where(F.col("n") <= task_arcs).select("component"), "component", "left_semi")
+    out = small.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks))).groupBy("task").applyInPandas(_tarjan, "node string, component string")
+    large = own.join(sizes.where(F.col("n") > task_arcs).select("component"), "component", "left_semi").select("src", "dst")
+    if not large.isEmpty():
+        out = out.unionByName(_by_colours(large))
+    return keep(out, "strong")
+
+
+def cycle_arcs(edges: DataFrame) -> DataFrame:
+    """src, dst, component: arcs that lie on a directed cycle, those within a strong component."""
+    of = strong_components(edges)
+    arcs = edges.select("src", "dst").distinct()
+    both = arcs.join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst")
+    return both.where("component = other").select("src", "dst", "component")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle."""
+    return cycle_arcs(edges).select(F.col("src").alias("node")).distinct()
+
+
+def _walk_rings(pdf):
+    import pandas as pd
+
+    after: dict[str, list[str]] = {}
+    for a, b in sorted(zip(pdf["src"], pdf["dst"])):
+        after.setdefault(a, []).append(b)
+    done, rings, keys = set(), [], set()
+    for first in sorted(after):
+        if first in done:
+            continue
+        path, place = [first], {first: 0}
+        todo = [iter(after[first])]
+        while todo:
+            nxt = next(todo[-1], None)
+            if nxt is None:
+                todo.pop()
+                gone = path.pop()
+                del place[gone]
+                done.add(gone)
+            elif nxt in place:
+                ring = path[place[nxt] :]
+                k = ring.index(min(ring))
+                key = tuple(ring[k:] + ring[:k])
+                if key not in keys:
+                    keys.add(key)
+                    rings.append(ring)
+            elif nxt not in done:
+                place[nxt] = len(path)
+                path.append(nxt)
+                todo.append(iter(after.get(nxt, ())))
+    return pd.DataFrame({"ring": rings})
+
+
+def reported_cycles(edges: DataFrame, task_arcs: int = 200_000) -> DataFrame:
     """ring (array): the rings that a depth-first search in sorted order meets at its back edges,
     each once whatever its first node.
 
-    Which rings that are depends on one walk's order, so the walk is one task; nodes
-    from which no cycle can be reached are trimmed before, distributed."""
-    rest = keep(edges.select("src", "dst").distinct(), "arcs")
-    size = rest.count()
-    while size:
-        out = rest.select(F.col("src").alias("dst")).distinct()
-        rest = keep(rest.join(out, "dst", "left_semi"), "arcs")
-        now = rest.count()
-        if now == size:
-            break
-        size = now
-
-    def search(pdf):
-        import pandas as pd
-
-        after: dict[str, list[str]] = {}
-        for a, b in sorted(zip(pdf["src"], pdf["dst"])):
-            after.setdefault(a, []).append(b)
-        done, rings, keys = set(), [], set()
-        for first in sorted(after):
-            if first in done:
-                continue
-            path, place = [first], {first: 0}
-            todo = [iter(after[first])]
-            while todo:
-                nxt = next(todo[-1], None)
-                if nxt is None:
-                    todo.pop()
-                    gone = path.pop()
-                    del place[gone]
-                    done.add(gone)
-                elif nxt in place:
-                    ring = path[place[nxt] :]
-                    k = ring.index(min(ring))
-                    key = tuple(ring[k:] + ring[:k])
-                    if key not in keys:
-                        keys.add(key)
-                        rings.append(ring)
-                elif nxt not in done:
-                    place[nxt] = len(path)
-                    path.append(nxt)
-                    todo.append(iter(after.get(nxt, ())))
-        return pd.DataFrame({"ring": rings})
-
-    return rest.withColumn("walk", F.lit(1)).groupBy("walk").applyInPandas(search, "ring array<string>")
+    The walk enters a strong component where it comes to it first, so what leads to cycles must
+    be walked too, and what leads to none need not. Walks of parts that aren't connected don't
+    meet: each is a walk of its own, small ones several to a task. Only a connected part of
+    arcs that lead to a cycle is ever in one task."""
+    arcs = keep(edges.select("src", "dst").distinct(), "arcs")
+    ring = cycle_arcs(arcs).select(F.col("src").alias("node")).distinct()
+    # back from the cycles: what reaches one
+    turned = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    leads = _walk(ring, turned)
+    rest = keep(arcs.join(leads.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "leading")
+    own, sizes, tasks = weak_components(rest, task_arcs)
+    task = F.when(F.col("n") <= task_arcs, F.concat(F.lit("t"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string"))).otherwise(F.concat(F.lit("c"), "component"))
+    return own.join(sizes, "component").select("src", "dst", task.alias("task")).groupBy("task").applyInPandas(_walk_rings, "ring array<string>")

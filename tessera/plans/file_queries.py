@@ -257,7 +257,7 @@ C_HASH = "sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replac
 
 PY_HASH = C_HASH.replace("/\\*[\\s\\S]*?\\*/", "\"\"\"[\\s\\S]*?\"\"\"|''''''[\\s\\S]*?''''''").replace("//[^\\n]*", "#[^\\n]*")
 # front matter, then lines numbered: a fence line, a line of code (an odd number of fences before it) or prose
-MD_HASH = """WITH f AS (SELECT path, body, regexp_matches(body, '^---\n[\s\S]*?\n---(\n|$)') AS has FROM {%s} WHERE regexp_matches(lower(path), '\.(md|markdown)$')),
+MD_HASH = r"""WITH f AS (SELECT path, body, regexp_matches(body, '^---\n[\s\S]*?\n---(\n|$)') AS has FROM {%s} WHERE regexp_matches(lower(path), '\.(md|markdown)$')),
 r AS (SELECT path, CASE WHEN has THEN concat('frontmatter:', chr(10), array_to_string(list_transform(string_split(regexp_extract(body, '^---\n([\s\S]*?)\n---(\n|$)', 1), chr(10)), lambda x: concat(rtrim(x, concat(' ', chr(9))), chr(10))), '')) ELSE '' END AS head, string_split(regexp_replace(CASE WHEN has THEN regexp_replace(body, '^---\n[\s\S]*?\n---(\n|$)', '') ELSE body END, '\n$', ''), chr(10)) AS xs FROM f),
 l AS (SELECT path, head, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM r), t AS (SELECT *, trim(x, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS t FROM l), g AS (SELECT *, CASE WHEN t LIKE '```%%' OR t LIKE '~~~%%' THEN 1 ELSE 0 END AS fence FROM t),
 o AS (SELECT path, head, i, CASE WHEN fence = 1 THEN concat('fence:', trim(regexp_replace(t, '^[`~]+', '')), chr(10)) WHEN sum(fence) OVER (PARTITION BY path ORDER BY i) %% 2 = 1 THEN concat('code:', rtrim(x, concat(' ', chr(9))), chr(10))
@@ -265,7 +265,7 @@ ELSE concat(CASE WHEN t LIKE '#%%' THEN concat('heading:', trim(regexp_replace(t
 SELECT path, sha256(concat(any_value(head), string_agg(piece, '' ORDER BY i))) AS h FROM o GROUP BY path"""
 
 
-@query("code_semantic_hash", f"SELECT path, CASE WHEN path LIKE '%.py' THEN {PY_HASH.format('body')} ELSE {C_HASH.format('body')} END AS h FROM {{repo}} WHERE regexp_matches(path, '\.(tsx?|sql|py)$')")
+@query("code_semantic_hash", rf"SELECT path, CASE WHEN path LIKE '%.py' THEN {PY_HASH.format('body')} ELSE {C_HASH.format('body')} END AS h FROM {{repo}} WHERE regexp_matches(path, '\.(tsx?|sql|py)$')")
 def code_semantic_hash(spark, d):
     return S.take(repo(spark, d).where("path RLIKE '[.](tsx?|sql|py)$'")).select("path", F.col("semantic_hash").alias("h"))
 

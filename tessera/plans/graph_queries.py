@@ -205,9 +205,35 @@ def cycle_nodes(spark, d):
     return T.on_cycles(M.directory_arcs(frame(spark, d, "arcs")))
 
 
-@query("dependency_cycles", None)
+ARCS = "arcs AS MATERIALIZED (SELECT DISTINCT concat('dir:', regexp_replace(substring(src, 6), '/[^/]*$', '')) AS src, dst FROM {arcs})"
+
+
+@query("strong_components", f"WITH RECURSIVE {ARCS}, p(a, b) AS (SELECT src, dst FROM arcs UNION SELECT p.a, arcs.dst FROM p JOIN arcs ON p.b = arcs.src), m AS (SELECT src AS node FROM arcs UNION SELECT dst FROM arcs) SELECT node, least(node, coalesce(min(x.b), node)) AS component FROM m LEFT JOIN p x ON x.a = node AND EXISTS (SELECT 1 FROM p y WHERE y.a = x.b AND y.b = x.a) GROUP BY node")
+def strong_components(spark, d):
+    return T.strong_components(M.directory_arcs(frame(spark, d, "arcs")))
+
+
+# the walk as a machine: a row for each connected part, a step for each arc looked at
+@query(
+    "dependency_cycles",
+    f"""WITH RECURSIVE {ARCS}, near AS (SELECT src AS a, dst AS b FROM arcs UNION SELECT dst, src FROM arcs), c(node, other) AS (SELECT a, a FROM near UNION SELECT c.node, near.b FROM c JOIN near ON c.other = near.a),
+part AS (SELECT node, min(other) AS part FROM c GROUP BY node), follow AS (SELECT part, list(src ORDER BY src) AS roots FROM (SELECT DISTINCT part, src FROM arcs JOIN part ON node = src) GROUP BY part),
+after AS (SELECT part, map_from_entries(list((src, kids))) AS kids FROM (SELECT part, src, list(dst ORDER BY dst) AS kids FROM arcs JOIN part ON node = src GROUP BY part, src) GROUP BY part),
+w(part, roots, stack, places, done, ring, step) AS (
+  SELECT part, roots, CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR[]), 0 FROM follow
+  UNION ALL
+  SELECT part, CASE WHEN len(stack) = 0 THEN roots[2:] ELSE roots END,
+         CASE WHEN len(stack) = 0 THEN CASE WHEN list_contains(done, roots[1]) THEN stack ELSE [roots[1]] END WHEN nxt IS NULL THEN stack[:-2] WHEN list_contains(stack, nxt) OR list_contains(done, nxt) THEN stack ELSE list_append(stack, nxt) END,
+         CASE WHEN len(stack) = 0 THEN CASE WHEN list_contains(done, roots[1]) THEN places ELSE [CAST(0 AS BIGINT)] END WHEN nxt IS NULL THEN places[:-2] WHEN list_contains(stack, nxt) OR list_contains(done, nxt) THEN list_append(places[:-2], places[-1] + 1) ELSE list_append(list_append(places[:-2], places[-1] + 1), CAST(0 AS BIGINT)) END,
+         CASE WHEN len(stack) > 0 AND nxt IS NULL THEN list_append(done, stack[-1]) ELSE done END,
+         CASE WHEN len(stack) > 0 AND list_contains(stack, nxt) THEN stack[list_position(stack, nxt):] END, step + 1
+  FROM (SELECT w.*, coalesce(kids[stack[-1]], CAST([] AS VARCHAR[]))[places[-1] + 1] AS nxt FROM w JOIN after USING (part) WHERE len(stack) > 0 OR len(roots) > 0)),
+r AS (SELECT part, ring, step, list_position(ring, list_min(ring)) AS k FROM w WHERE ring IS NOT NULL)
+SELECT array_to_string(arg_min(ring, step), ',') AS ring, len(any_value(ring))::INTEGER AS n FROM r GROUP BY part, list_concat(ring[k:], ring[:k - 1])""",
+)
 def dependency_cycles(spark, d):
-    return M.dependency_cycles(frame(spark, d, "arcs"))
+    """The rings as the walk meets them: their directories in order, joined."""
+    return M.dependency_cycles(frame(spark, d, "arcs")).select(F.array_join("ring", ",").alias("ring"), F.size("ring").alias("n"))
 
 
 ENDPOINTS = "SELECT n.id, x.source, x.source IN (SELECT dst FROM {edges_current} WHERE kind = 'verifies') AS good FROM {nodes_current} n JOIN (SELECT dst, max(src) AS source FROM {edges_current} WHERE kind = 'defines' GROUP BY dst) x ON n.id = x.dst WHERE n.kind = 'endpoint_'"
@@ -239,6 +265,54 @@ def callers_khop(spark, d):
     return T.hops(calls.select(F.col("src").alias("node")).distinct(), calls, 2)
 
 
+_SITES = """a AS MATERIALIZED (SELECT concat('p.', to_func) AS src, concat('p.', from_func) AS caller, file, line FROM {call_sites}), ch AS (SELECT concat('p.f', p_partkey) AS symbol, concat('m', p_partkey % 5, '.go') AS file FROM part WHERE p_size % 5 = 0),
+d AS (SELECT src AS symbol, count(*) AS direct_callers, count(*) FILTER (NOT ends_with(file, '_test.go')) AS direct_production FROM a GROUP BY src)"""
+
+
+@query(
+    "callsites",
+    f"""WITH {_SITES}, t AS (SELECT src AS symbol, string_agg(concat(caller, '@', file, ':', line), ',' ORDER BY n) AS top FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY file, line, caller) AS n FROM a) WHERE n <= 10 GROUP BY src),
+s AS MATERIALIZED (SELECT src, caller, min({{{{'line': line, 'file': file}}}}).file AS file FROM a WHERE NOT ends_with(file, '_test.go') GROUP BY src, caller), r1 AS (SELECT symbol, caller, min(s.file) AS file FROM ch JOIN s ON src = symbol GROUP BY ALL),
+r2 AS (SELECT symbol, s.caller, min(s.file) AS file FROM r1 JOIN s ON src = r1.caller GROUP BY ALL), r AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 ANTI JOIN r1 USING (symbol, caller)), f AS (SELECT symbol, count(*) AS transitive_callers, count(DISTINCT file) AS transitive_files FROM r GROUP BY symbol)
+SELECT symbol, file, coalesce(direct_callers, 0) AS direct_callers, coalesce(direct_production, 0) AS direct_production, coalesce(transitive_callers, 0) AS transitive_callers, coalesce(transitive_files, 0) AS transitive_files, coalesce(top, '') AS top FROM ch LEFT JOIN d USING (symbol) LEFT JOIN t USING (symbol) LEFT JOIN f USING (symbol)""".replace("{{", "{").replace("}}", "}"),
+)
+def callsites(spark, d):
+    """Every changed function: its callers, theirs, the files, and the first ten call sites."""
+    from ..operators.golang import callers
+
+    changed, calls = _sites(spark, d)
+    top = F.array_join(F.transform("top_callers", lambda x: F.concat(x["caller"], F.lit("@"), x["file"], F.lit(":"), x["line"].cast("string"))), ",")
+    return callers(changed, calls, most=None).withColumn("top_callers", top).withColumnRenamed("top_callers", "top")
+
+
+def _sites(spark, d):
+    changed = frame(spark, d, "part").where("p_size % 5 = 0").select(F.lit("p").alias("pkg"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("m"), (F.col("p_partkey") % 5).cast("string"), F.lit(".go")).alias("file"))
+    return changed, frame(spark, d, "call_sites").select(F.lit("p").alias("from_pkg"), "from_func", F.lit("p").alias("to_pkg"), "to_func", "file", "line")
+
+
+@query(
+    "callsite_blast",
+    f"""WITH {_SITES}, k AS (SELECT *, row_number() OVER (ORDER BY file, symbol) AS n FROM ch), p AS (SELECT k.symbol, k.file, coalesce(direct_production, 0) AS m FROM k LEFT JOIN d USING (symbol) WHERE n <= 50), b AS (SELECT * FROM p WHERE m > 0 ORDER BY m DESC, file, symbol LIMIT 5)
+SELECT coalesce((SELECT max(m) FROM b), 0) AS score, (SELECT string_agg(symbol, ',' ORDER BY m DESC, file, symbol) FROM b) AS top, (SELECT string_agg(symbol, ',' ORDER BY symbol) FROM p) AS changed, CASE WHEN (SELECT count(*) FROM ch) > 50 THEN 1 ELSE 0 END AS warnings""",
+)
+def callsite_blast(spark, d):
+    """The meter as it is reported: at most fifty changed functions (its documented bound), the top five."""
+    from ..operators.golang import callsite_blast as blast
+
+    return blast(*_sites(spark, d)).select("score", F.array_join("top_symbols", ",").alias("top"), F.array_join("changed_symbols", ",").alias("changed"), F.size("warnings").alias("warnings"))
+
+
+@query(
+    "go_in_build",
+    """SELECT path FROM {go_builds} WHERE CASE ending WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE true END AND CASE form WHEN 1 THEN false WHEN 3 THEN true WHEN 5 THEN false ELSE true END""",
+)
+def go_in_build(spark, d):
+    """Go files that a build for linux on amd64 compiles."""
+    from ..operators.golang import in_build
+
+    return in_build(frame(spark, d, "go_builds")).select("path")
+
+
 @query("dead_code", "SELECT name FROM {defs} WHERE NOT method AND NOT regexp_matches(name, '^[A-Z]') AND name NOT IN (SELECT to_func FROM {calls}) ORDER BY file, line, name LIMIT 50")
 def dead_code(spark, d):
     from ..operators.golang import dead_code as unused

@@ -61,10 +61,14 @@ VIRTUAL = {
     "describes": "SELECT DISTINCT 'describes' AS kind, concat('doc:src/', CAST(o_custkey AS VARCHAR(20)), '.md') AS src, concat('concept:', CAST(o_custkey % 97 AS VARCHAR(20))) AS dst FROM {orders}",
     # page addresses as changed paths
     "urls": "SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '') AS path FROM {pages}",
-    # some functions are never called
-    "calls": "SELECT DISTINCT concat('f', CAST(l_suppkey % 97 AS VARCHAR(20))) AS from_func, concat('f', CAST(l_partkey % 1999 AS VARCHAR(20))) AS to_func FROM {lineitem} WHERE l_suppkey % 97 <> l_partkey % 1999 AND l_partkey % 10 <> 7",
+    # each part is a function that a few others call, by the lines it stands on; some are never called
+    "call_sites": "SELECT concat('f', CAST(l_partkey + 3 * l_linenumber + l_suppkey % 5 AS VARCHAR(20))) AS from_func, concat('f', CAST(l_partkey AS VARCHAR(20))) AS to_func, concat('m', CAST(l_suppkey % 5 AS VARCHAR(20)), CASE WHEN l_returnflag = 'R' THEN '_test.go' ELSE '.go' END) AS file, CAST(l_orderkey AS INT) AS line FROM {lineitem} WHERE l_partkey % 10 <> 7",
+    "calls": "SELECT DISTINCT from_func, to_func FROM {call_sites}",
+    # Go files with constraints in their names and above their package clauses
+    "go_builds": "SELECT concat('b/f', CAST(p_partkey AS VARCHAR(20)), CASE p_size % 8 WHEN 0 THEN '_linux.go' WHEN 1 THEN '_windows_amd64.go' WHEN 2 THEN '_arm64_test.go' WHEN 3 THEN '_linux_amd64.go' WHEN 4 THEN '_unix.go' ELSE '.go' END) AS path, concat('// Copyright', chr(10), chr(10), CASE p_partkey % 9 WHEN 0 THEN '//go:build linux && (arm64 || !windows)' WHEN 1 THEN '//go:build !linux || own' WHEN 2 THEN '//go:build own,x' WHEN 3 THEN '// +build windows linux,!own' WHEN 4 THEN '//go:build unix && go1.18 && !go1.99' WHEN 5 THEN '//go:build (darwin || own) && cgo' WHEN 6 THEN '/* x */ // no constraint' WHEN 7 THEN '//go:builder linux' ELSE '' END, chr(10), chr(10), 'package b', chr(10), '//go:build windows', chr(10), 'func F', CAST(p_partkey AS VARCHAR(20)), '() {}', chr(10)) AS body, p_partkey % 9 AS form, p_size % 8 AS ending FROM {part}",
     "defs": "SELECT concat(CASE WHEN p_partkey % 3 = 0 THEN 'F' ELSE 'f' END, CAST(p_partkey AS VARCHAR(20))) AS name, p_size % 5 = 0 AS method, concat(p_brand, '.go') AS file, CAST(p_partkey AS INT) AS line FROM {part}",
-    "arcs": "SELECT DISTINCT 'depends_on' AS kind, concat('file:', p_brand, '/', CAST(p_size AS VARCHAR(20)), '.go') AS src, concat('dir:', substring(p_type, 1, 3)) AS dst FROM {part} UNION ALL SELECT DISTINCT 'depends_on', concat('file:', substring(p_type, 1, 3), '/', CAST(p_size AS VARCHAR(20)), '.go'), concat('dir:', p_brand) FROM {part} WHERE p_partkey % 11 = 0",
+    # imports between packages of sixteen parts each, and some to the first package of a group of four
+    "arcs": "SELECT DISTINCT 'depends_on' AS kind, concat('file:g', CAST(CAST(floor(p_partkey / 16) AS BIGINT) AS VARCHAR(20)), '/', CAST(p_size % 9 AS VARCHAR(20)), '/', CAST(p_partkey AS VARCHAR(20)), '.go') AS src, concat('dir:g', CAST(CAST(floor(p_partkey / 16) AS BIGINT) AS VARCHAR(20)), '/', CAST((p_size + p_partkey) % 9 AS VARCHAR(20))) AS dst FROM {part} UNION ALL SELECT DISTINCT 'depends_on', concat('file:g', CAST(CAST(floor(p_partkey / 16) AS BIGINT) AS VARCHAR(20)), '/', CAST(p_size % 9 AS VARCHAR(20)), '/x.go'), concat('dir:g', CAST(CAST(floor(p_partkey / 64) * 4 AS BIGINT) AS VARCHAR(20)), '/', CAST(p_size % 7 AS VARCHAR(20))) FROM {part} WHERE p_partkey % 11 = 0",
     "runs": "SELECT CAST(l.doc_id AS VARCHAR(20)) AS run_id, concat('ADV-', CAST(l.doc_id % 23 AS VARCHAR(20))) AS mutation_id, CASE WHEN l.toxic = 1 THEN 'm1' ELSE 'm2' END AS expected1, concat('m', CAST(l.doc_id % 4 AS VARCHAR(20))) AS expected2, CASE WHEN l.quality = 1 THEN 'm1' ELSE 'm3' END AS actual1, concat('m', CAST(l.doc_id % 3 AS VARCHAR(20))) AS actual2, CASE WHEN l.doc_id % 31 = 0 THEN 1 ELSE 0 END AS skip, coalesce(d.source, 'none') AS category, d.lang AS lang FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id",
     "repo": REPO,
     "go_repo": GO_REPO,
