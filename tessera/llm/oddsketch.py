@@ -192,9 +192,16 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return close.join(side("a", ["set"], sets), "a").join(side("b", ["set"], sets), "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
 
 
+#: Up to so many classes (17 bytes each) go to all executors instead of the texts to the classes.
+MOST_SENT = 1 << 20
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """class, set: the shingles of the documents that stand for the wanted classes (class, head;
-    of all rows with that key: they are one document)."""
+    of all rows with that key: they are one document). Texts are shuffled only where the
+    classes, counted first, are too many to be sent."""
+    if wanted.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, block: i
         shared = bands.groupBy("bucket").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("centre.class").alias("centre"))
         members = own.table(bands.join(shared, "bucket"), "buckets", gather=True)
         pairs = members.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-        wanted = numbers.join(members.select("class").distinct(), "class", "left_semi")
+        wanted = own.table(numbers.join(members.select("class").distinct(), "class", "left_semi"), "wanted", gather=True)
         sets = own.table(_sets(docs, wanted, width), "sets", gather=True)
         release(docs.sparkSession)
         links = own.table(_confirm(pairs, classes, sets, percent), "links", gather=True)
