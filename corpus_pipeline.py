@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, oddsketch, packing, suffixes
-from tessera.llm.common import new_path, passing, remove
+from tessera.llm.common import new_path, passing, remove, small_batches
 from tessera.llm.queries import table, tokenizer
 
 #: Least part of a text's n-grams that its language's filter must hold.
@@ -30,10 +30,11 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no letter and goes; a null id or source stays; repeated rows are
     judged alike; a tie goes to the first language in order; extra columns stay as they are,
     whatever their names; an empty table stays empty."""
+    small_batches(spark)
     row = free(docs, "row")
-    rows = docs.select(F.struct(*docs.columns).alias(row), "text")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias(row), "text")
     found = langid.predict(rows, langid.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("coverage") >= MIN_COVERAGE))
-    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(row)[c].alias(c) for c in docs.columns])
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("text") if c == "text" else F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are no duplicates; a row without an id stays if no document with one is
     like it, one for each group; of rows equal in id and text the first by their other
     columns stays; extra columns stay; an empty table stays empty."""
+    small_batches(spark)
     mark = free(docs, "key")
     kept = oddsketch.near_duplicates(docs).where("kept").select(F.col("key").alias(mark)).distinct()
     rows = docs.withColumn(mark, oddsketch.key()).join(kept, mark, "left_semi")
@@ -59,6 +61,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts lose nothing and stay; a null id counts as the smallest; rows with one
     id don't take from each other; n_chars is counted anew where there is one; extra columns
     stay; an empty table stays empty."""
+    small_batches(spark)
     own, tag, kept, gone = (free(docs, c) for c in ("own", "tag", "kept", "gone"))
     cut = suffixes.remove_repeats(docs, with_text=True).where("n_removed > 0")
     cut = cut.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("kept_text").alias(kept), F.lit(True).alias(gone)).dropDuplicates([own, tag])
@@ -77,6 +80,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are never taken; rows that share an id count as one each and
     are taken by themselves if their sizes differ, else alike; a null source is the last
     source; extra columns stay; an empty table stays empty."""
+    small_batches(spark)
     own, size, times, copy = (free(docs, c) for c in ("own", "size", "times", "copy"))
     found = mixing.mix(docs).where("taken > 0")
     taken = found.select(F.col("doc_id").alias(own), F.col("size").alias(size), (F.col("taken") / F.col("size")).cast("int").alias(times)).groupBy(own, size).agg(F.max(times).alias(times))
@@ -89,6 +93,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is empty and packs its end id; repeated rows and null ids are packed like any
     other row; extra columns are ignored; an empty table gives no pieces."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
