@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .storage import keep
 
 _BODY = {"inline": r"\[[^\]]*\]\(([^) \t\n\f\r]+)", "ref": r"^\[[^\]]+\]:[ \t\n\f\r]*([^ \t\n\f\r]+)"}
 
+NOTHING = hashlib.sha256(b"").hexdigest()  # the root of no files
+
 
 def kind_of(path) -> Column:
     e = P.lower_ext(path)
@@ -117,6 +121,42 @@ def merkle(files: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("path"), "hash", "children")
 
 
+def _up(level: DataFrame) -> DataFrame:
+    return level.select(F.when(P.dirname("dir") == ".", "").otherwise(P.dirname("dir")).alias("dir"), F.when(F.col("dir") == "", ".").otherwise(P.basename("dir")).alias("name"), F.lit(True).alias("is_dir"), "hash")
+
+
+def merkle_update(known: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """dir, name, is_dir, hash: the entries of the tree that change with ``changes`` (path, hash; null: gone).
+
+    ``known`` holds all entries before, in the same columns. Only directories above a changed path
+    are hashed again; the hashes of all others come from ``known``. A directory that holds nothing
+    any more has a null hash; the root is ('', '.'), and its hash is that of nothing if it is empty."""
+    spark = changes.sparkSession
+    moved = keep(changes.select(F.when(P.dirname("path") == ".", "").otherwise(P.dirname("path")).alias("dir"), P.basename("path").alias("name"), F.lit(False).alias("is_dir"), "hash"), "moved")
+    touched = keep(changes.select(F.explode(P.ancestors("path")).alias("dir")).distinct().withColumn("depth", _depth(F.col("dir"))), "touched")
+    deepest = touched.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return spark.createDataFrame([], "dir string, name string, is_dir boolean, hash string")
+    own = moved
+    if known is not None:
+        full = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat("dir", F.lit("/"), "name"))
+        held = known.where("name <> '.' AND hash IS NOT NULL").join(touched, "dir", "left_semi").join(moved, ["dir", "name", "is_dir"], "left_anti")
+        again = touched.select(F.col("dir").alias("full"), F.lit(True).alias("is_dir"))
+        own = held.withColumn("full", full).join(again, ["full", "is_dir"], "left_anti").select("dir", "name", "is_dir", "hash").unionByName(moved)
+    own = keep(own.where("hash IS NOT NULL").select("dir", "name", "hash"), "own")
+    done, above = moved, None
+    for depth in range(deepest, -1, -1):
+        here = own if above is None else own.unionByName(above)
+        rows = touched.where(F.col("depth") == depth).join(here, "dir", "left")
+        kids = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "hash"))))
+        lines = F.transform("kids", lambda k: F.concat(k["name"], F.lit(":"), k["hash"], F.lit("\n")))
+        hashed = F.when((F.size("kids") > 0) | (F.col("dir") == ""), F.sha2(F.array_join(lines, ""), 256))
+        level = keep(_up(rows.groupBy("dir").agg(kids.alias("kids")).select("dir", hashed.alias("hash"))), f"up{depth}")
+        done = done.unionByName(level)
+        above = level.where("hash IS NOT NULL").select("dir", "name", "hash")
+    return done
+
+
 def root_hash(tree: DataFrame) -> DataFrame:
     """One row: the hash of '.', or that of nothing."""
     return tree.where("path = '.'").agg(F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("root"))

@@ -12,7 +12,7 @@ from ..operators import golang
 from ..operators import meters as M
 from ..operators import rules as R
 from ..operators import snapshot as S
-from ..operators.storage import keep
+from ..operators.storage import folder, keep
 from .graph_queries import QUERIES, SQL, query
 from .virtual import duckdb_sql, frame
 
@@ -295,8 +295,11 @@ def semantic_changes(spark, d):
     return M.semantic_changes(S.take(frame(spark, d, "files_base")), S.take(frame(spark, d, "files_current")))
 
 
-@query("merkle_dirs", """WITH f AS (SELECT string_split(path, '/') AS s, sha256(body) AS h FROM {files_current}), l3 AS (SELECT s[1] AS a, s[2] AS b, sha256(string_agg(concat(s[3], ':', h, chr(10)), '' ORDER BY s[3])) AS h FROM f GROUP BY 1, 2), l2 AS (SELECT a, sha256(string_agg(concat(b, ':', h, chr(10)), '' ORDER BY b)) AS h FROM l3 GROUP BY 1)
-SELECT concat(a, '/', b) AS path, h AS hash FROM l3 UNION ALL SELECT a, h FROM l2 UNION ALL SELECT '.', sha256(string_agg(concat(a, ':', h, chr(10)), '' ORDER BY a)) FROM l2""")
+MERKLE = """WITH f AS (SELECT string_split(path, '/') AS s, sha256(body) AS h FROM {files_current}), l3 AS (SELECT s[1] AS a, s[2] AS b, sha256(string_agg(concat(s[3], ':', h, chr(10)), '' ORDER BY s[3])) AS h FROM f GROUP BY 1, 2), l2 AS (SELECT a, sha256(string_agg(concat(b, ':', h, chr(10)), '' ORDER BY b)) AS h FROM l3 GROUP BY 1)
+SELECT concat(a, '/', b) AS path, h AS hash FROM l3 UNION ALL SELECT a, h FROM l2 UNION ALL SELECT '.', sha256(string_agg(concat(a, ':', h, chr(10)), '' ORDER BY a)) FROM l2"""
+
+
+@query("merkle_dirs", MERKLE)
 def merkle_dirs(spark, d):
     return S.merkle(S.take(frame(spark, d, "files_current"))).select("path", "hash")
 
@@ -495,14 +498,19 @@ def virtual_graph(spark, d):
     return counts[0].unionByName(counts[1])
 
 
-@query("watch_changes", None)
+@query("watch_changes", MERKLE)
 def watch_changes(spark, d):
-    """The events table as a stream of versions of user files, and how many files there are at its end."""
-    from ..streaming.watch import latest_versions
-
-    rows = frame(spark, d, "events").select(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("path"), "props", F.col("event_id").alias("version"))
-    files = latest_versions(rows.withColumnRenamed("props", "body"))
-    return S.root_hash(S.merkle(S.take(files)))
+    """The base files and then the current ones as a stream of versions: each directory's hash as the watch leaves it."""
+    from ..streaming.watch import directories, watch
+
+    base, now = (frame(spark, d, name).select("path", "body") for name in ("files_base", "files_current"))
+    gone = base.join(now, "path", "left_anti").select("path", F.lit(None).cast("string").alias("body"))
+    source, state, progress = (folder(spark, label) for label in ("versions", "watched", "progress"))
+    for number, rows in enumerate((base, now.unionByName(gone))):
+        rows.select("path", "body", F.lit(number).cast("long").alias("version")).write.mode("append").parquet(source)
+        versions = spark.readStream.schema("path string, body string, version long").parquet(source)
+        watch(spark, versions, state, progress, lambda files, root: None, None).awaitTermination()
+    return directories(spark, state)
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -1,10 +1,16 @@
 """Change detection on Structured Streaming.
 
-A source of file versions (path, body, version) is kept as the latest version of each path
-in a table; each micro-batch merges its rows into the state of the batch before, recomputes
-the Merkle root and, if it differs from the last, calls ``emit``. The state and its root are
-tables, one of each for a batch; those of the last two batches are kept, so that a batch that
-is repeated after a failure finds what it began with, and a restart goes on."""
+A source of file versions (path, body, version) is kept as the newest version of each path. Each
+micro-batch hashes its own rows, looks up what was known of their paths, hashes the directories
+above those that differ, and appends both to the state; if the root differs from the last,
+``emit`` is called.
+
+The state is a list of segments, each the rows of one batch or of several merged ones. A segment is
+merged with the ones after it once they hold half as many rows as it does, so there are about as
+many segments as the state's size has binary digits, a large state isn't rewritten for a small
+change, and each row is rewritten a logarithmic number of times. The list of a batch is written
+last, with the root; segments that the last two lists don't name are deleted. A batch that is
+repeated after a failure therefore finds what it began with, and a restart goes on."""
 
 from __future__ import annotations
 
@@ -32,52 +38,132 @@ class Poller:
         return changed
 
 
+FILE = "path string, version long, content_hash string, body string"
+ENTRY = "dir string, name string, is_dir boolean, hash string, batch long"
+STATE = "root string, segments array<struct<name string, rows long>>"
+
+
 def newest(rows: DataFrame) -> DataFrame:
-    """path, body, version of the newest version of each path. Deletions (null bodies) stay, or an older version would come back."""
-    top = rows.groupBy("path").agg(F.max(F.struct("version", "body")).alias("top"))
-    return top.select("path", "top.body", "top.version")
+    """The newest version of each path; of equal versions, the one of the greatest hash. Deletions
+    (null bodies) stay, or an older version would come back. Rows without path or version are left out."""
+    top = rows.where("path <> '' AND version IS NOT NULL").groupBy("path").agg(F.max(F.struct("version", "content_hash", "body")).alias("top"))
+    return top.select("path", "top.version", "top.content_hash", "top.body")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "version", F.sha2("body", 256).alias("content_hash"), "body")
 
 
 def latest_versions(rows: DataFrame) -> DataFrame:
     """path, body of the newest version; a null body is a deletion."""
-    return newest(rows).where("body IS NOT NULL").select("path", "body")
+    return newest(hashed(rows)).where("body IS NOT NULL").select("path", "body")
 
 
-def _exists(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def latest_entries(rows: DataFrame) -> DataFrame:
+    """dir, name, is_dir, hash as the last batch left them; gone entries have a null hash."""
+    top = rows.groupBy("dir", "name", "is_dir").agg(F.max(F.struct("batch", "hash")).alias("top"))
+    return top.select("dir", "name", "is_dir", "top.hash", "top.batch")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def directories(spark: SparkSession, table: str) -> DataFrame:
+    """path ('.' for the root), hash of each directory as the last batch left it."""
+    lists = [name for name in _names(spark, f"{table}/lists")]
+    last = max(lists, key=lambda name: int(name.split("=")[1]))
+    names = [s["name"] for s in spark.read.schema(STATE).parquet(f"{table}/lists/{last}").first()["segments"]]
+    rows = latest_entries(_read(spark, f"{table}/entries", names, ENTRY)).where("is_dir AND hash IS NOT NULL")
+    return rows.select(F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat("dir", F.lit("/"), "name")).alias("path"), "hash")
 
 
-def watch(spark: SparkSession, versions: DataFrame, table: str, checkpoint: str, emit: Callable[[DataFrame, str], None], interval: str | None = "1 second", initial: bool = False, log: Callable[[str], None] = print):
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    where, fs = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def _only(spark: SparkSession, path: str, stay: set[str]) -> None:
+    for name in set(_names(spark, path)) - stay:
+        where, fs = _fs(spark, f"{path}/{name}")
+        fs.delete(where, True)
+
+
+def _read(spark: SparkSession, path: str, names: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path}/{name}" for name in names]) if names else spark.createDataFrame([], schema)
+
+
+def to_merge(segments: list[tuple[str, int]]) -> int:
+    """How many of the last segments become one: 1 if none has to be merged."""
+    count, rows = 1, segments[-1][1]
+    while count < len(segments) and segments[-count - 1][1] <= 2 * rows:
+        count, rows = count + 1, rows + segments[-count - 1][1]
+    return count
+
+
+def step(spark: SparkSession, batch: DataFrame, number: int, table: str) -> tuple[str | None, str, list[str]]:
+    """Take one batch into the state: the root before (None at the start), the root after, the segments."""
+    files, entries, lists = f"{table}/files", f"{table}/entries", f"{table}/lists"
+    last = f"batch={number - 1}"
+    before = spark.read.schema(STATE).parquet(f"{lists}/{last}").first() if last in _names(spark, lists) else None
+    old = [(s["name"], s["rows"]) for s in before["segments"]] if before else []
+    names = [name for name, _ in old]
+
+    fresh = newest(hashed(batch))
+    was = _read(spark, files, names, FILE).select("path", "version", "content_hash", F.lit(None).cast("string").alias("body"))
+    was = newest(was.join(fresh.select("path"), "path", "left_semi")).select("path", F.col("version").alias("old_version"), F.col("content_hash").alias("old_hash"))
+    later = (F.col("version") > F.col("old_version")) | ((F.col("version") == F.col("old_version")) & (F.coalesce("content_hash", F.lit("")) > F.coalesce("old_hash", F.lit(""))))
+    fresh = fresh.join(was, "path", "left").where(F.col("old_version").isNull() | later)
+    own = f"batch={number}"
+    fresh.write.mode("overwrite").parquet(f"{files}/{own}")
+    fresh = spark.read.schema(FILE + ", old_version long, old_hash string").parquet(f"{files}/{own}")
+    rows = fresh.count()
+    changes = fresh.where("NOT content_hash <=> old_hash").select("path", F.col("content_hash").alias("hash"))
+    known = latest_entries(_read(spark, entries, names, ENTRY)) if names else None
+    S.merkle_update(known, changes).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{entries}/{own}")
+    found = _read(spark, entries, [own], ENTRY).where("dir = '' AND name = '.'").first()
+    root = found["hash"] if found else before["root"] if before else S.NOTHING
+
+    segments = [*old, (own, rows)] if rows else old
+    many = to_merge(segments) if rows else 1
+    if many > 1:
+        parts, one = [name for name, _ in segments[-many:]], f"merged={number}"
+        newest(_read(spark, files, parts, FILE)).write.mode("overwrite").parquet(f"{files}/{one}")
+        latest_entries(_read(spark, entries, parts, ENTRY)).write.mode("overwrite").parquet(f"{entries}/{one}")
+        segments = [*segments[:-many], (one, spark.read.parquet(f"{files}/{one}").count())]
+    spark.createDataFrame([(root, segments)], STATE).coalesce(1).write.mode("overwrite").parquet(f"{lists}/{own}")
+    stay = {name for name, _ in [*old, *segments]}
+    for path in (files, entries):
+        _only(spark, path, stay)
+    _only(spark, lists, {last, own})
+    return before["root"] if before else None, root, [name for name, _ in segments]
+
+
+def logged(evaluate: Callable[[DataFrame, str], None], log: Callable[[str], None] = print) -> Callable[[DataFrame, str], None]:
+    """An ``emit`` for ``watch`` under which a failing evaluation is logged and the watch goes on."""
+
+    def emit(files: DataFrame, root: str) -> None:
+        try:
+            evaluate(files, root)
+        except Exception as e:  # one bad evaluation must not end the watch
+            log(f"evaluation failed: {e}")
+
+    return emit
+
+
+def watch(spark: SparkSession, versions: DataFrame, table: str, checkpoint: str, emit: Callable[[DataFrame, str], None], interval: str | None = "1 second", initial: bool = False):
     """Start watching. ``versions``: a streaming DataFrame (path, body, version).
 
     With ``interval`` None what is there is taken once (availableNow). The first root ever is
-    emitted only if ``initial`` is set; an error in ``emit`` is logged and the stream goes on."""
+    emitted only if ``initial`` is set. ``emit`` gets the files (path, body), which are read only
+    if it uses them, and the root; an error in it ends the stream, and a restart repeats the batch.
+    ``logged`` makes an emit that goes on."""
 
     def each(batch: DataFrame, number: int) -> None:
-        state, roots = f"{table}/state", f"{table}/root"
-        known = number > 0 and _exists(spark, f"{roots}/batch={number - 1}")
-        rows = batch.select("path", "body", "version")
-        if known:
-            rows = rows.unionByName(spark.read.parquet(f"{state}/batch={number - 1}"))
-        newest(rows).write.mode("overwrite").parquet(f"{state}/batch={number}")
-        files = latest_versions(spark.read.parquet(f"{state}/batch={number}"))
-        root = root_of(files)
-        spark.createDataFrame([(root,)], "root string").coalesce(1).write.mode("overwrite").parquet(f"{roots}/batch={number}")
-        before = spark.read.parquet(f"{roots}/batch={number - 1}").first()["root"] if known else None
-        if root != before and (known or initial):
-            try:
-                emit(files, root)
-            except Exception as e:  # one bad evaluation must not end the watch
-                log(f"evaluation failed: {e}")
-        if number > 1:
-            for old in (state, roots):
-                _drop(spark, f"{old}/batch={number - 2}")
+        before, root, names = step(spark, batch.select("path", "body", "version"), number, table)
+        if root != before and (before is not None or initial):
+            emit(newest(_read(spark, f"{table}/files", names, FILE)).where("body IS NOT NULL").select("path", "body"), root)
 
     writer = versions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -202,7 +202,7 @@ def test_watch_goes_on_after_restarts(spark, tmp_path):
         versions = spark.readStream.schema(schema).json(str(src))
         W.watch(spark, versions, str(tmp_path / "state"), str(tmp_path / "ck"), lambda files, root: seen.append({r["path"]: r["body"] for r in files.collect()}), None).awaitTermination()
     assert seen == [{"a": "3", "b": "2"}, {"a": "3"}, {"a": "3", "c": "4"}]  # older versions change nothing
-    assert len(list((tmp_path / "state" / "state").glob("batch=*"))) == 2
+    assert len(list((tmp_path / "state" / "lists").glob("batch=*"))) == 2
 
 
 def test_collect_by_command(spark, tmp_path):
