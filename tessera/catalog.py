@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import report_queries  # noqa: F401  it registers its queries
 from .plans.file_queries import QUERIES, SQL
 
 

@@ -258,21 +258,26 @@ def orphaned_aliases(base_nodes: DataFrame, nodes: DataFrame, files: DataFrame)
     """file, name: frontend files that hold the label of a metric that is gone, at any place.
 
     A label's longest run of word characters (or of others that aren't white space) lies within such
-    a run of a text that holds the label. So the distinct runs of all texts are cut to the lengths that
-    occur (names of files: at most 255), joined with the labels' runs by equality, and only labels
-    of several runs are looked up in the texts that hold their run."""
+    a run of a text that holds the label. Runs are split into chunks at least as long as any label,
+    and each chunk with the one after it is a piece, so the work is linear in a run. The distinct
+    pieces of all texts are cut to the lengths that occur, joined with the labels' runs by equality,
+    and only labels of several runs are looked up in the texts that hold their run."""
     gone = base_nodes.where("kind = 'metric'").select(F.col("label").alias("name")).distinct().join(nodes.where("kind = 'metric'").select(F.col("label").alias("name")), "name", "left_anti")
     runs = lambda c: F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]+"), 0)
     longest = F.array_max(F.transform(runs(F.col("name")), lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))
     gone = gone.select("name", longest["run"].alias("key")).where("key IS NOT NULL")
     lengths = sorted(r[0] for r in gone.select(F.length("key")).distinct().collect())
     front = files.where(P.lower_ext("path").isin(R.FRONTEND)).select(F.col("path").alias("file"), "body")
-    held = front.select("file", F.explode(F.array_distinct(runs(F.col("body")))).alias("run"))
+    chunk = max([256, *lengths])
+    chunks = F.transform(runs(F.col("body")), lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
+    pieces = F.flatten(F.transform(chunks, lambda c: F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.try_element_at(c, i + 2), F.lit(""))))))
+    held = front.select("file", F.explode(F.array_distinct(pieces)).alias("piece"))
     if not lengths:
-        return held.select("file", F.col("run").alias("name")).where("false")
-    cuts = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    met = held.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(*[cuts(n) for n in lengths]))).alias("key")).join(gone, "key")
-    found = held.join(met, "run").select("file", "name", (F.col("key") == F.col("name")).alias("whole")).distinct()
+        return held.select("file", F.col("piece").alias("name")).where("false")
+    starts = lambda n: F.sequence(F.lit(1), F.least(F.lit(chunk), F.length("piece") - n + 1))
+    cuts = lambda n: F.when(F.length("piece") >= n, F.transform(starts(n), lambda i: F.substring("piece", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    met = held.select("piece").distinct().select("piece", F.explode(F.array_distinct(F.concat(*[cuts(n) for n in lengths]))).alias("key")).join(gone, "key")
+    found = held.join(met, "piece").select("file", "name", (F.col("key") == F.col("name")).alias("whole")).distinct()
     looked = found.where("NOT whole").join(front, "file").where("contains(body, name)").select("file", "name")
     return found.where("whole").select("file", "name").unionByName(looked).distinct()
 
