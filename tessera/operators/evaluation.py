@@ -185,24 +185,11 @@ def backdate(commits: DataFrame, days: int) -> DataFrame:
     return commits.withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-def refine_order(specs: DataFrame, cluster_of: DataFrame, last: DataFrame) -> DataFrame:
-    """Specs of the largest clusters first, then what was skipped or errored, then the rest."""
-    hot = cluster_of.select(F.explode("mutations").alias("mutation_id"), "n").groupBy("mutation_id").agg(F.max("n").alias("hot"))
-    odd = last.where(F.col("classification").isin("skipped", "errored")).select("mutation_id").distinct().withColumn("odd", F.lit(1))
-    rows = specs.join(hot, "mutation_id", "left").join(odd, "mutation_id", "left")
-    return rows.select(*specs.columns, F.when(F.col("hot").isNotNull(), 0).when(F.col("odd").isNotNull(), 1).otherwise(2).alias("turn"), F.coalesce("hot", F.lit(0)).alias("weight")).orderBy("turn", F.desc("weight"), "mutation_id")
-
-
 def refinements(found: DataFrame) -> DataFrame:
     """What to try next for each cluster."""
     return found.select("key", "n", F.when(F.col("n") >= 3, "extend the extractor that these have in common").when(F.size("mutations") > 1, "compare the mutations of this cluster").otherwise("write a test for this one case").alias("suggestion"))
 
 
-def keep_last(runs: DataFrame, most: int = 200) -> DataFrame:
-    """The last runs of a leaderboard."""
-    return runs.orderBy(F.desc("run_id")).limit(most)
-
-
 def oracle(expected="expected", allowed="allowed", actual="actual", verdicts="verdicts", verdict="verdict", case="case_type") -> dict[str, Column]:
     """A case of the oracle protocol: what was missed, what was extra, and which of five classes it is."""
     missing = F.array_sort(F.array_except(expected, actual))

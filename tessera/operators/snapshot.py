@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,8 +72,8 @@ def markdown_hash(body: Column) -> Column:
     return F.sha2(F.concat(head, F.array_join(F.transform(parts, part), "")), 256)
 
 
-def take(files: DataFrame) -> DataFrame:
-    """path, size, kind, content_hash, semantic_hash of files (path, body).
+def take(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys`` (columns that stay as they are), path, size, kind, content_hash, semantic_hash of files (path, body).
 
     Go files have no canonical formatter here: comments and blanks are left out instead."""
     e, body = P.lower_ext("path"), F.col("body")
@@ -83,7 +84,7 @@ def take(files: DataFrame) -> DataFrame:
         .when(e.isin(HASH_STYLE), hash_style_hash(body))
         .otherwise(content)
     )
-    return files.select("path", F.octet_length("body").cast("long").alias("size"), kind_of("path").alias("kind"), content.alias("content_hash"), semantic.alias("semantic_hash"))
+    return files.select(*keys, "path", F.octet_length("body").cast("long").alias("size"), kind_of("path").alias("kind"), content.alias("content_hash"), semantic.alias("semantic_hash"))
 
 
 def _depth(path) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import evaluation as E
-from ..operators import review, specs
+from ..operators import cases, review, specs
 from ..operators.storage import folder
 from ..schema import EDGES, NODES
 from ..sources import documents, runlog
-from .file_queries import MD, repo
+from .file_queries import MD, RULES, repo
 from .graph_queries import query
 from .virtual import frame
 
@@ -91,3 +91,21 @@ def cut_names(spark, d):
 @query("template_shape", "SELECT CASE WHEN bool_or(path IN ('pnpm-workspace.yaml', 'turbo.json', 'nx.json')) OR (bool_or(path LIKE 'packages/%') AND bool_or(path LIKE 'apps/%')) THEN 'monorepo' WHEN bool_or(path = 'package.json') AND (bool_or(path = 'tsconfig.json') OR bool_or(path LIKE 'src/%')) THEN 'typescript-app' WHEN bool_or(path = 'go.mod') THEN 'go-cli' WHEN bool_or(path IN ('pyproject.toml', 'setup.py')) THEN 'python-package' WHEN bool_or(path = 'dbt_project.yml' OR path LIKE 'migrations/%' OR path LIKE 'rill/%') THEN 'data-pipeline' WHEN bool_or(path LIKE 'terraform/%' OR (path LIKE '%.tf' AND path NOT LIKE '%/%')) THEN 'infra-terraform' WHEN bool_or(path LIKE 'docs/%') AND count(*) FILTER (path NOT LIKE '%/%' AND lower(path) LIKE '%.md') >= 5 THEN 'docs-site' WHEN bool_or(path LIKE '.agents/%' OR path LIKE 'agents/%') THEN 'agent-repo' ELSE 'generic' END AS template FROM {repo}")
 def template_shape(spark, d):
     return E.template_shape(repo(spark, d))
+
+
+@query("case_meters", """WITH f AS (SELECT path, doc_id, doc_id % 4 AS r FROM {files_base}), t AS (SELECT count(*) FILTER (r = 0) AS before FROM f)
+SELECT concat('c', doc_id) AS case_id, CASE WHEN r = 3 THEN 1 ELSE 0 END AS added, CASE WHEN r >= 2 THEN 1 ELSE 0 END AS removed, CASE WHEN r = 0 THEN 1 ELSE 0 END AS semantic_changed, CASE WHEN r = 1 THEN 1 ELSE 0 END AS semantic_noop,
+  before + CASE WHEN r = 3 THEN 1 ELSE 0 END AS documents, CASE WHEN r = 0 THEN round(1 / before, 9) WHEN r = 3 THEN round(1 / (before + 1), 9) ELSE 0 END AS score, 0 AS broken FROM f, t""")
+def case_meters(spark, d):
+    """A mutated repository for each file, all in one plan: what changed, and how far the documents moved."""
+    files = frame(spark, d, "files_base")
+    r, none = F.col("doc_id") % 4, F.lit(None).cast("string")
+    edits = files.select(
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("case_id"),
+        F.when(r <= 1, "append_text").when(r == 2, "remove_file").otherwise("rename_file").alias("operation"),
+        "path", none.alias("old"), none.alias("new"),
+        F.when(r == 0, "\n# More cases").otherwise("\n// a note").alias("text"),
+        F.concat("path", F.lit(".md")).alias("new_path"), none.alias("content"),
+    )
+    out = cases.evaluate(files.select("path", "body"), edits, RULES)
+    return out.select("case_id", "added", "removed", "semantic_changed", "semantic_noop", "documents", F.round("semantic_score", 9).alias("score"), "broken")
