@@ -135,8 +135,14 @@ def stalest(rows: DataFrame, most: int = 5) -> DataFrame:
 
 
 def contradiction(findings: DataFrame) -> DataFrame:
-    """Findings of the language-model review: how many contradict, and over which files."""
-    return findings.agg(F.count_if(F.col("rule") == "llm-contradiction").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("triggered_by")))).alias("candidates"))
+    """Findings of the language-model review: how many contradict, and over how many files."""
+    files = candidates(findings).agg(F.count(F.lit(1)).alias("candidates"))
+    return findings.agg(F.count_if(F.col("rule") == "llm-contradiction").alias("score")).join(F.broadcast(files))
+
+
+def candidates(findings: DataFrame) -> DataFrame:
+    """path of the files that findings are about, each once."""
+    return findings.select(F.explode("triggered_by").alias("path")).distinct()
 
 
 def stale_decisions(edges: DataFrame) -> DataFrame:

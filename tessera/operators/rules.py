@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -48,6 +48,17 @@ def suggested(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode("suggested_commands").alias("command")).distinct()
 
 
+def suggested_in_order(findings: DataFrame, rules: list[dict]) -> DataFrame:
+    """command, position: each once, where it first comes in the order of the rules and of a rule's commands.
+
+    Findings of no rule in the list come after those, by name. There are no more commands than rules give."""
+    ids = F.array(*[F.lit(r["id"]) for r in rules]).cast("array<string>")
+    place = F.array_position(ids, F.col("rule"))
+    rows = findings.select(F.when(place > 0, place).otherwise(len(rules) + 1).alias("a"), "rule", F.posexplode("suggested_commands").alias("b", "command"))
+    first = rows.groupBy("command").agg(F.min(F.struct("a", "rule", "b")).alias("at"))
+    return first.select("command", (F.row_number().over(Window.orderBy("at", "command")) - 1).cast("long").alias("position"))
+
+
 def known_ids(files: DataFrame) -> DataFrame:
     """Typed ids of records: from names of stories, from names or id lines of decisions."""
     name = P.basename("path")

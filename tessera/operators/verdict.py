@@ -92,16 +92,6 @@ def regressions(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def join_short(items: Column, most: int) -> Column:
-    """The first few, and how many more."""
-    more = F.size(items) - most
-    return F.when(more > 0, F.format_string("%s (+%d more)", F.array_join(F.slice(items, 1, most), ", "), more)).otherwise(F.array_join(items, ", "))
-
-
-def explain(judged: DataFrame) -> DataFrame:
-    return judged.withColumn("explanation", F.when(F.size("active_meters") == 0, "no meter is above its floor").otherwise(F.concat(F.lit("active: "), join_short(F.col("active_meters"), 5))))
-
-
 def outcome(facts: DataFrame, *keys: str) -> DataFrame:
     """The contract for a caller, a row for each row of facts: subcommand, errors, warns, staged, dirty, untracked,
     include_untracked, drift_verdict, regressions, truth_clarification, baseline_missing."""

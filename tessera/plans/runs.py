@@ -9,9 +9,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extract, golang, meters, rules, snapshot, verdict
+from ..operators import explain, extract, golang, meters, rules, snapshot, verdict
+from ..operators.graph import diff_edges, diff_nodes
 from ..operators.storage import keep
 
+#: The figures of a report that are numbers of items.
+COUNTED = {
+    "required_edge_breakage": "broken_rules", "trace_coverage": "uncovered_stories", "newly_orphaned_concept": "newly_orphaned_concepts", "newly_unsupported_claim": "newly_unsupported_claims",
+    "newly_uncovered_story": "newly_uncovered_stories", "newly_orphaned_endpoint": "newly_orphaned_endpoints", "stale_decision_links": "stale_decisions", "broken_implements_chains": "broken_chains",
+    "dependency_cycles": "cycles", "orphan_endpoints": "orphan_endpoints", "unimplemented_stories": "unimplemented", "broken_links": "broken_links", "unknown_id_references": "unknown_ids",
+    "stale_tests": "stale_tests", "truth_alignment": "truth_conflicts", "orphaned_metric_aliases": "orphaned_aliases", "dangling_imports": "dangling_imports",
+}
+
 
 @dataclass
 class State:
@@ -32,8 +41,6 @@ def index(files: DataFrame, rule_list: list[dict] | None = None, commands: list[
 
 def compare(base: State, current: State) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files, nodes and edges that changed."""
-    from ..operators.graph import diff_edges, diff_nodes
-
     return snapshot.diff(base.snapshot, current.snapshot), diff_nodes(base.nodes, current.nodes), diff_edges(base.edges, current.edges)
 
 
@@ -43,7 +50,9 @@ def _beside(parts: list[DataFrame]) -> DataFrame:
 
 
 def drift(current: State, base: State | None, changed: DataFrame, rule_list: list[dict], commits: DataFrame, now: datetime, findings: DataFrame | None = None, calls: bool = False, dead: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The judged report (one row) and the regressions."""
+    """The judged report (one row, with explanations and actions) and the regressions.
+
+    What the meters found is written once, as items; numbers and first items of all meters come from that table."""
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     stories = meters.trace_state(current.nodes, current.edges)
     reached = keep(meters.supported(current.nodes, current.edges), "reached")
@@ -61,40 +70,51 @@ def drift(current: State, base: State | None, changed: DataFrame, rule_list: lis
         "newly_uncovered_story": meters.transitions(base_stories, stories),
         "newly_orphaned_endpoint": meters.transitions(base_endpoints, endpoints),
     }
-    bad = lambda kind, name: n(moved[kind].where("change = 'newly_bad'"), name)
+    fired = rules.evaluate(changed, rule_list)
+    stale = keep(meters.staleness_rows(current.files, commits, current.edges, now), "staleness")
+    bad = lambda state: state.where(~F.col("good"))
+    found = {kind: rows.where("change = 'newly_bad'") for kind, rows in moved.items()} | {
+        "required_edge_breakage": fired, "trace_coverage": bad(stories), "path_loss": bad(concepts), "claim_support": bad(claims), "orphan_endpoints": bad(endpoints),
+        "stale_decision_links": meters.stale_decisions(current.edges), "broken_implements_chains": meters.broken_chains(current.edges), "dependency_cycles": meters.dependency_cycles(current.edges),
+        "unimplemented_stories": meters.unimplemented(current.nodes, current.edges), "broken_links": meters.broken_links(current.files), "unknown_id_references": meters.unknown_ids(current.files, current.nodes),
+        "dangling_imports": meters.dangling_imports(current.files), "staleness": stale.where("stale"),
+    }
     parts = [
-        meters.edge_breakage(rules.evaluate(changed, rule_list), len(rule_list)).select(F.col("broken").alias("broken_rules")),
-        stories.agg(F.count(F.lit(1)).alias("stories"), F.count_if(~F.col("good")).alias("uncovered_stories")),
+        stories.agg(F.count(F.lit(1)).alias("stories")),
         meters.loss(concepts, base_concepts).select(F.col("total").alias("concepts"), F.col("score").alias("path_loss_score"), F.col("convention").alias("path_loss_convention")),
         meters.loss(claims, base_claims).select(F.col("total").alias("claims"), F.col("score").alias("claim_score"), F.col("convention").alias("claim_convention")),
-        bad("newly_orphaned_concept", "newly_orphaned_concepts"), bad("newly_unsupported_claim", "newly_unsupported_claims"),
-        bad("newly_uncovered_story", "newly_uncovered_stories"), bad("newly_orphaned_endpoint", "newly_orphaned_endpoints"),
-        meters.staleness(meters.staleness_rows(current.files, commits, current.edges, now)).select("files", F.col("score").alias("staleness_score")),
-        n(meters.stale_decisions(current.edges), "stale_decisions"), n(meters.broken_chains(current.edges), "broken_chains"), n(meters.dependency_cycles(current.edges), "cycles"),
-        n(endpoints.where(~F.col("good")), "orphan_endpoints"), meters.has_kind("verifies", current.edges).select(F.col("convention").alias("endpoint_convention")),
-        n(meters.unimplemented(current.nodes, current.edges), "unimplemented"), meters.has_kind("implements", current.edges, base.edges if base else None).select(F.col("convention").alias("implements_convention")),
-        n(meters.broken_links(current.files), "broken_links"), n(meters.unknown_ids(current.files, current.nodes), "unknown_ids"), n(meters.dangling_imports(current.files), "dangling_imports"),
-        stories.sparkSession.createDataFrame([(base is not None,)], "base_available boolean"),
+        meters.staleness(stale).select("files", F.col("stale").alias("stale_files"), F.col("score").alias("staleness_score")),
+        meters.has_kind("verifies", current.edges).select(F.col("convention").alias("endpoint_convention")),
+        meters.has_kind("implements", current.edges, base.edges if base else None).select(F.col("convention").alias("implements_convention")),
+        stories.sparkSession.createDataFrame([(base is not None, len(rule_list), findings is not None)], "base_available boolean, rules int, reviewed boolean"),
     ]
     if findings is not None:
-        parts.append(meters.contradiction(findings).select(F.col("score").alias("contradictions")))
+        parts.append(meters.contradiction(findings).select(F.col("score").alias("contradictions"), "candidates"))
     if base is not None:
+        per, blast = meters.blast(base.edges, current.edges)
+        change = lambda what: F.count_if(F.col("change") == what)
         parts += [
-            meters.neighborhood(base.nodes, base.edges, current.nodes, current.edges).select(F.col("score").alias("neighborhood_score")),
-            meters.semantic_movement(base.snapshot, current.snapshot).select(F.col("score").alias("semantic_score")),
-            meters.blast(base.edges, current.edges)[1].select(F.col("score").alias("blast_score")),
-            n(meters.stale_tests(current.edges, base.snapshot, current.snapshot), "stale_tests"),
-            n(meters.truth_alignment(current.nodes, current.edges, base.snapshot, current.snapshot), "truth_conflicts"),
-            n(meters.orphaned_aliases(base.nodes, current.nodes, current.files), "orphaned_aliases"),
+            meters.neighborhood(base.nodes, base.edges, current.nodes, current.edges).select(F.col("score").alias("neighborhood_score"), "nodes_added", "nodes_removed"),
+            diff_edges(base.edges, current.edges).agg(change("added").alias("edges_added"), change("removed").alias("edges_removed")),
+            meters.semantic_movement(base.snapshot, current.snapshot).select(F.col("score").alias("semantic_score"), F.col("total").alias("documents"), F.col("semantic").alias("semantic_edits"), F.col("noop").alias("noop_edits")),
+            blast.select(F.col("score").alias("blast_score"), "touched"),
         ]
+        found |= {
+            "stale_tests": meters.stale_tests(current.edges, base.snapshot, current.snapshot), "truth_alignment": meters.truth_alignment(current.nodes, current.edges, base.snapshot, current.snapshot),
+            "orphaned_metric_aliases": meters.orphaned_aliases(base.nodes, current.nodes, current.files), "blast_radius": per.where("impact >= 1"),
+        }
     if calls or dead:
         defs, call_rows = golang.call_graph(current.files)
         if dead:
             parts.append(n(golang.dead_code(defs, call_rows), "dead_code"))
         if calls and base is not None:
-            per = golang.callers(meters.changed_functions(base.snapshot, current.snapshot, defs), call_rows)
-            parts.append(per.agg(F.coalesce(F.max("direct_production"), F.lit(0)).alias("callsite_score")))
-    return verdict.explain(verdict.judge(_beside(parts))), verdict.regressions(moved)
+            per_function = golang.callers(meters.changed_functions(base.snapshot, current.snapshot, defs), call_rows)
+            parts.append(per_function.agg(F.coalesce(F.max("direct_production"), F.lit(0)).alias("callsite_score")))
+    lists = keep(explain.shortlist(explain.items(found)), "found")
+    number = lambda meter: F.coalesce(F.max(F.when(F.col("meter") == meter, F.col("n"))), F.lit(0)).alias(COUNTED[meter])
+    parts.append(lists.agg(*[number(meter) for meter in COUNTED]))
+    judged = verdict.judge(_beside(parts))
+    return explain.explain(explain.attach(judged, lists)), verdict.regressions(moved)
 
 
 def review(changed: DataFrame, files: DataFrame, rule_list: list[dict], added: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:

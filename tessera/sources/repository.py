@@ -46,18 +46,20 @@ def bodies(spark: SparkSession, root: str, paths: DataFrame | None = None) -> Da
     return rows if paths is None else rows.join(paths.select("path").distinct(), "path", "left_semi")
 
 
-def changes(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
-    """path, area (staged, worktree, untracked, or range), status, hunk; deletions are left out of the areas' names."""
+def changes(spark: SparkSession, root: str, base: str | None = None, *paths: str) -> DataFrame:
+    """path, area (staged, worktree, untracked, or range), status, hunk; deletions are left out of the areas' names.
+
+    With ``paths`` (git's pathspecs) only what they hold. Hunks are those of staged files, with two lines of context."""
     rows: list[tuple] = []
     areas = {"staged": ["diff", "--cached"], "worktree": ["diff", "HEAD"]}
     if base:
         areas["range"] = ["diff", base]
     for area, command in areas.items():
-        for line in _names(git(root, *command, "--name-status", "--diff-filter=ACMR")):
+        for line in _names(git(root, *command, "--name-status", "--diff-filter=ACMR", "--", *paths)):
             status, *names = line.split("\t")
-            hunk = git(root, "diff", "--cached", "--unified=0", "--", names[-1]) if area == "staged" else None
+            hunk = git(root, "diff", "--cached", "--unified=2", "--", names[-1]) if area == "staged" else None
             rows.append((names[-1], area, status[0], hunk))
-    rows += [(p, "untracked", "A", None) for p in _names(git(root, "ls-files", "--others", "--exclude-standard"))]
+    rows += [(p, "untracked", "A", None) for p in _names(git(root, "ls-files", "--others", "--exclude-standard", "--", *paths))]
     return spark.createDataFrame(rows, CHANGES)
 
 

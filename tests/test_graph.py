@@ -167,6 +167,9 @@ def test_drift_end_to_end(spark):
     report, regressions = runs.drift(now, base, spark.createDataFrame([("web/login.ts",)], "path string"), RULES, commits, datetime(2024, 1, 2))
     row = report.first()
     assert row["verdict"] == "warn" and row["broken_rules"] == 1 and row["stale_tests"] == 1 and row["cycles"] == 1
+    said, todo = ({(r["meter"]): r["line"] for r in row[k]} for k in ("explanations", "actions"))
+    assert said["stale_tests"].startswith("1 tests stayed") and said["required_edge_breakage"].startswith("1 of ") and "dependency_cycles" in todo
+    assert row["headline"].startswith("drift: warn") and not {m for m in todo} - {m for m in said}
     assert "stale_tests" in row["active_meters"] and regressions.columns == ["kind", "id", "suggested_action"]
     files_changed, nodes_changed, edges_changed = runs.compare(base, now)
     assert files_changed.count() == 2 and nodes_changed.count() > 0 and edges_changed.count() > 0
@@ -260,6 +263,30 @@ def test_git_source(spark, tmp_path):
     assert G.git("/nowhere", "status") == ""
 
 
+def test_staged_paths_and_hunks(spark, tmp_path):
+    import subprocess
+
+    from tessera.functions import text as T
+    from tessera.sources import repository as G
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("".join(f"{i}\n" for i in range(9)))
+    (tmp_path / "b.txt").write_text("one\n")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    (tmp_path / "docs/a.md").write_text("".join(f"{i}\n" if i != 4 else "four\n" for i in range(9)))
+    (tmp_path / "b.txt").write_text("two\n")
+    (tmp_path / "docs/c.md").write_text("new\n")
+    run("add", "docs/a.md", "b.txt")
+    rows = G.changes(spark, str(tmp_path), None, "docs").where("area IN ('staged', 'untracked')").select("path", "area", "hunk", T.added_lines("hunk").alias("added")).collect()
+    assert {(r["path"], r["area"]) for r in rows} == {("docs/a.md", "staged"), ("docs/c.md", "untracked")}
+    staged = next(r for r in rows if r["area"] == "staged")
+    assert "\n 2\n 3\n-4\n+four\n 5\n 6" in staged["hunk"] and "\n 1\n" not in staged["hunk"] and staged["added"] == "four"
+    assert {r["path"] for r in G.changes(spark, str(tmp_path)).where("area = 'staged'").collect()} == {"docs/a.md", "b.txt"}
+
+
 def test_callers_of_every_callee(spark):
     from tessera import catalog
 

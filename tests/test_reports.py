@@ -164,3 +164,67 @@ def test_aliases_in_one_long_run(spark):
     files = spark.createDataFrame([("min.js", body), ("b.ts", "x rate_qqq y")], "path string, body string")
     found = {(r.file, r.name) for r in meters.orphaned_aliases(base, base.where("false"), files).collect()}
     assert found == {(p, n) for p, b in (("min.js", body), ("b.ts", "x rate_qqq y")) for n in names if n in b}
+
+
+def test_shortlist_of_hot_meters(spark):
+    import random
+
+    from tessera.operators import explain
+
+    draw = random.Random(5)
+    rows = [(k, m, float(draw.randint(0, 3)), f"i{draw.randint(0, 40)}") for k in ("a", "b") for m, n in (("hot", 3000), ("two", 2), ("one", 1)) for _ in range(n)]
+    want = {}
+    for k, m, position, item in rows:
+        want.setdefault((k, m), []).append((position, item))
+    schema = "key string, meter string, position double, item string"
+    got = explain.shortlist(spark.createDataFrame(rows, schema).repartition(7), "key").collect()
+    assert {(r["key"], r["meter"]): (r["n"], r["first"]) for r in got} == {k: (len(v), [i for _, i in sorted(v)[:5]]) for k, v in want.items()}
+    assert explain.shortlist(spark.createDataFrame([], schema), "key").count() == 0
+    assert explain.shortlist(spark.createDataFrame([("a", "m", 0.0, None)], schema)).first()["first"] == [None]
+
+
+def test_words_of_a_report(spark):
+    from tessera.operators import explain
+    from tessera.operators import verdict as V
+
+    say = lambda report, found: explain.explain(explain.attach(V.judge(report), explain.shortlist(found, "id"), "id"))
+    report = spark.createDataFrame([(1, 4, 0.75, False, 0), (2, 4, 0.75, True, 1), (3, None, None, None, None)], "id int, concepts long, path_loss_score double, path_loss_convention boolean, newly_orphaned_concepts long")
+    bad = spark.createDataFrame([(k, f"c{i}") for k in (1, 2) for i in (3, 1, 2)], "id int, name string")
+    found = bad.selectExpr("id", "'path_loss' AS meter", "0D AS position", "name AS item").unionByName(bad.where("id = 2 AND name = 'c1'").selectExpr("id", "'newly_orphaned_concept' AS meter", "0D AS position", "name AS item"))
+    rows = {r["id"]: r for r in say(report, found).collect()}
+    lines = lambda k, name: [tuple(x) for x in rows[k][name] if x["meter"] in ("path_loss", "silenced", "none")]
+    assert lines(1, "explanations") == [("path_loss", "3 of 4 concepts reach no support (no concept here is supported, so the verdict leaves it out): c1, c2, c3")]
+    assert lines(1, "actions")[0][0] == "silenced" and "path_loss" in lines(1, "actions")[0][1] and rows[1]["headline"] == "drift: clean; silenced: path_loss"
+    assert [x[1] for x in lines(2, "explanations")] == ["3 of 4 concepts reach no support: c1, c2, c3", "1 concepts lost their support since the baseline: c1"]
+    assert [x[0] for x in lines(2, "actions")] == ["path_loss", "path_loss"] and rows[2]["headline"] == "drift: telemetry, 1 regression(s); active: path_loss"
+    assert lines(3, "explanations") == [] and lines(3, "actions") == [("none", "nothing to do")]
+    said = explain.spoken(say(report, found), "id").where("id = 3 AND part = 'action'").collect()
+    assert [(r["position"], r["line"]) for r in said] == [(0, "nothing to do")]
+
+
+def test_triggered_globs_and_order_of_commands(spark):
+    from tessera.functions import globs
+    from tessera.operators import rules
+
+    paths = spark.createDataFrame([("docs/a/b.md",), ("x.ts",), (None,)], "path string")
+    assert [(r["position"], r["glob"]) for r in globs.triggered(paths, ["*.go", "*.ts", "docs/**/*.md"]).orderBy("position").collect()] == [(1, "*.ts"), (2, "docs/**/*.md")]
+    assert globs.triggered(paths, []).count() == 0 and globs.triggered(paths.where("false"), ["*"]).count() == 0
+    found = spark.createDataFrame([("z", ["c", "a"]), ("b", ["a", "d", "a"]), ("other", ["e", "c"]), ("b", ["a"])], "rule string, suggested_commands array<string>")
+    got = rules.suggested_in_order(found, [{"id": "b"}, {"id": "z"}]).orderBy("position").collect()
+    assert [(r["position"], r["command"]) for r in got] == [(0, "a"), (1, "d"), (2, "c"), (3, "e")]
+    assert rules.suggested_in_order(found, []).count() == 4
+
+
+def test_report_queries_equal_sql(spark):
+    import duckdb
+    from tessera import catalog
+
+    d = "/root/testdata/sf0.001"
+    run, sql, db = catalog.queries(), catalog.oracle_sql(), duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    for name in ("meter_explanations", "strict_promotion", "contradictions", "outcome_contract", "triggered_globs", "command_order", "gate"):
+        want = db.execute(sql[name])
+        columns, rows = [c[0] for c in want.description], want.fetchall()
+        assert rows and order(run[name](spark, d).select(*columns).collect()) == order(rows), name
