@@ -49,7 +49,8 @@ def shortlist(found: DataFrame, *keys: str, most: int = MOST) -> DataFrame:
     """keys, meter, n, first: how many items, and the first of them by position and text.
 
     Counts combine before the shuffle and so does the ranking (a limit per group), so one meter of
-    one key may hold nearly all items."""
+    one key may hold nearly all items. ``found`` is read twice, so give it as a written table where
+    it is dear to compute. A null item counts and comes first."""
     by = [*keys, "meter"]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("position", "item"))).where(F.col("rank") <= most)
     counted = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import explain, meters
 from ..operators import cases, review, rules, specs
 from ..operators import verdict as V
-from ..operators.storage import folder
+from ..operators.storage import folder, keep
 from ..schema import EDGES, NODES
 from ..sources import documents, runlog
 from .file_queries import FIRED, MD, RULES, repo
@@ -170,7 +170,7 @@ def meter_explanations(spark, d):
     report = report.withColumns({
         "base_available": key % 2 == 0, "path_loss_convention": key % 3 != 0, "broken_rules": key % 4, "rules": F.lit(3), "endpoint_convention": key % 5 != 0, "neighborhood_score": (key % 7) * F.lit(20.5),
     })
-    lists = explain.shortlist(explain.items(found, "part_id"), "part_id")
+    lists = explain.shortlist(keep(explain.items(found, "part_id"), "items"), "part_id")
     return explain.spoken(explain.explain(explain.attach(V.judge(report), lists, "part_id")), "part_id")
 
 

@@ -110,7 +110,7 @@ def drift(current: State, base: State | None, changed: DataFrame, rule_list: lis
         if calls and base is not None:
             per_function = golang.callers(meters.changed_functions(base.snapshot, current.snapshot, defs), call_rows)
             parts.append(per_function.agg(F.coalesce(F.max("direct_production"), F.lit(0)).alias("callsite_score")))
-    lists = keep(explain.shortlist(explain.items(found)), "found")
+    lists = keep(explain.shortlist(keep(explain.items(found), "items")), "found")
     number = lambda meter: F.coalesce(F.max(F.when(F.col("meter") == meter, F.col("n"))), F.lit(0)).alias(COUNTED[meter])
     parts.append(lists.agg(*[number(meter) for meter in COUNTED]))
     judged = verdict.judge(_beside(parts))
