@@ -11,32 +11,66 @@ from .storage import keep
 def reach(starts: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
     """All nodes with a path to a start (column ``node``), starts included.
 
-    Undirected reachability is equality of components, so rather than walk hop by hop,
-    labels are passed and jumped: rounds grow with the logarithm of the distance."""
+    Undirected reachability is equality of components, so nothing is walked hop by hop."""
     if directed:
         return _walk(starts, edges)
-    known = components(edges)
-    hit = known.join(starts.select("node").distinct(), "node", "left_semi").select("component").distinct()
-    return known.join(hit, "component", "left_semi").select("node").union(starts.select("node")).distinct()
+    known = _linked(edges, starts)
+    hit = known.where("marked").select("component").distinct()
+    return known.join(hit, "component", "left_semi").select("node")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest id of its component)."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct()
-    both = keep(both, "adjacent")
-    now = keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    known = _linked(edges, edges.select(F.col("src").alias("node")).where("false"))
+    least = known.groupBy("component").agg(F.min("node").alias("least"))
+    return known.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _linked(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """node, marked, component (a number) of the ends of edges and of the marked nodes.
+
+    Ids are read once and become 64-bit numbers, by a hash whose seed changes until no two ids
+    share a number. Then graphs of numbers are contracted: each number goes to the least one beside
+    it, in an order that changes with the round, and what is left is the graph of those. A fixed
+    share of the numbers leaves in each round, however long its paths, so all rounds together
+    cost little more than the first."""
+    pairs = keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "pairs")
+    seed = 0
     while True:
-        beside = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("beside"))
-        met = now.join(beside, now["node"] == beside["a"], "left").select("node", F.col("component").alias("was"), F.least("component", "beside").alias("component"))
-        # what a label met, its whole group meets: the old label is itself a node of the group
-        via = met.groupBy("was").agg(F.min("component").alias("best"))
-        spread = met.join(via, "was").select("node", "was", F.least("component", "best").alias("component"))
-        jump = spread.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        new = keep(spread.join(jump, spread["component"] == jump["via"], "left").select("node", "was", F.least("component", "further").alias("component")), "labels")
-        if new.where("component <> was").isEmpty():
-            loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(new, "node", "left_anti").select("node", F.col("node").alias("component"))
-            return new.select("node", "component").unionByName(loops)
-        now = new.select("node", "component")
+        number = lambda c: F.xxhash64(c, F.lit(seed))  # noqa: E731,B023
+        rows = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), number("dst").alias("beside")), F.struct(F.col("dst").alias("node"), number("src").alias("beside")))).alias("x")).select("x.node", "x.beside", F.lit(False).alias("marked"))
+        rows = rows.unionByName(marked.select("node", number("node").alias("beside"), F.lit(True).alias("marked")))
+        names = rows.groupBy("node", number("node").alias("number")).agg(F.min("beside").alias("beside"), F.max("marked").alias("marked"))
+        names = keep(names.select("node", "number", F.least("number", "beside").alias("parent"), "marked"), "names")
+        if names.agg(F.count(F.lit(1)) == F.count_distinct("number")).first()[0]:
+            break
+        seed += 1
+    left = _contracted(pairs.select(number("src").alias("a"), number("dst").alias("b")), names.select("number", "parent"))
+    rounds = []
+    while not left.isEmpty():
+        turn, flip = 7 + 11 * len(rounds) % 56, F.lit((len(rounds) + 1) * 0x1E3779B97F4A7C15 % (1 << 62))
+        mixed = lambda c: (F.shiftleft(c, turn).bitwiseOR(F.shiftrightunsigned(c, 64 - turn))).bitwiseXOR(flip)  # noqa: E731,B023
+        plain = lambda c: F.shiftrightunsigned(c.bitwiseXOR(flip), turn).bitwiseOR(F.shiftleft(c.bitwiseXOR(flip), 64 - turn))  # noqa: E731,B023
+        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", mixed(F.col("x.b")).alias("b"))
+        step = both.groupBy(F.col("a").alias("number")).agg(F.min("b").alias("b")).select("number", plain(F.least("b", mixed(F.col("number")))).alias("parent"))
+        rounds.append(keep(step, "round"))
+        left = _contracted(left, rounds[-1])
+    if not rounds:
+        return names.select("node", "marked", F.col("parent").alias("component"))
+    # back from the last round: where each number ended
+    ends = rounds.pop()
+    while rounds:
+        step, later = rounds.pop(), ends.select(F.col("number").alias("parent"), F.col("parent").alias("end"))
+        ends = keep(step.join(later, "parent", "left").select("number", F.coalesce("end", "parent").alias("parent")), "ends")
+    later = ends.select(F.col("number").alias("parent"), F.col("parent").alias("end"))
+    return keep(names.join(later, "parent", "left").select("node", "marked", F.coalesce("end", "parent").alias("component")), "linked")
+
+
+def _contracted(pairs: DataFrame, parents: DataFrame) -> DataFrame:
+    """Pairs (a, b) between the parents of their ends, each once and without loops."""
+    at = pairs.where("a <> b").join(parents.select(F.col("number").alias("a"), F.col("parent").alias("x")), "a").select("b", "x")
+    at = at.join(parents.select(F.col("number").alias("b"), F.col("parent").alias("y")), "b").where("x <> y")
+    return keep(at.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "left")
 
 
 def _walk(starts: DataFrame, edges: DataFrame) -> DataFrame:
