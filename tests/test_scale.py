@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import graph, traverse
+from tessera.operators import graph, meters, traverse
 
 
 @pytest.fixture()
@@ -38,3 +38,14 @@ def test_diff_takes_equal_edges_as_equal(spark):
     one = spark.createDataFrame([("e", "a", None), ("e", "a", "b"), ("e", "a", "b")], "kind string, src string, dst string")
     two = spark.createDataFrame([("e", "a", None), ("e", "a", "c")], one.schema)
     assert {tuple(r) for r in graph.diff_edges(one, two).collect()} == {("removed", "e", "a", "b"), ("added", "e", "a", "c")}
+
+
+def test_blast_reads_each_graph_once(spark, counted):
+    shape = "kind string, src string, dst string"
+    base, seen_base = counted([("e", "a", "b"), ("e", "b", "c"), ("e", "x", "y"), ("e", "d", "x")], shape)
+    now, seen = counted([("e", "b", "c"), ("f", "c", "b"), ("e", "b", "b"), ("e", "c", "d"), ("e", "x", "y"), ("e", "d", "x")], shape)
+    per, one = meters.blast(base, now)
+    # touched: a, b, c, d; beside them only x is untouched
+    assert tuple(one.first()) == (1, 6, 4)
+    assert {tuple(r) for r in per.collect()} == {("b", 0, 2), ("c", 0, 2), ("d", 1, 2)}
+    assert (seen_base.value, seen.value) == (4, 6)
