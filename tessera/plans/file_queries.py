@@ -32,6 +32,12 @@ def repo(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "repo")
 
 
+def written_repo(spark: SparkSession, d: str) -> DataFrame:
+    """The files written once, for queries that read them often. Texts that are put together from keys look as
+    small to Spark as the keys, so that joins would send them whole to the driver and every task."""
+    return keep(repo(spark, d), "files")
+
+
 @query("dir_ancestors", "WITH p AS (SELECT path, string_split(path, '/') AS s FROM {repo}), u AS (SELECT path, s, unnest(generate_series(0, len(s) - 1)) AS n FROM p) SELECT DISTINCT CASE WHEN n = 0 THEN 'dir:.' ELSE concat('dir:', array_to_string(s[1:n], '/')) END AS id FROM u")
 def dir_ancestors(spark, d):
     return X.directories(repo(spark, d))[0].where("kind = 'directory'").select("id").distinct()
@@ -333,7 +339,7 @@ def truth_alignment(spark, d):
 
 @query("orphaned_aliases", "SELECT DISTINCT path AS file, n AS name FROM {repo}, (SELECT concat('rate_', s_suppkey) AS n FROM supplier WHERE s_suppkey % 2 = 0) WHERE regexp_matches(path, '\\.(ts|tsx|json)$') AND contains(body, n)")
 def orphaned_aliases(spark, d):
-    files = repo(spark, d)
+    files = written_repo(spark, d)
     base = X.metrics(files)[0]
     return M.orphaned_aliases(base, base.where("int(substring(label, 6)) % 2 = 1"), files)
 

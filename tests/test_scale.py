@@ -49,3 +49,11 @@ def test_blast_reads_each_graph_once(spark, counted):
     assert tuple(one.first()) == (1, 6, 4)
     assert {tuple(r) for r in per.collect()} == {("b", 0, 2), ("c", 0, 2), ("d", 1, 2)}
     assert (seen_base.value, seen.value) == (4, 6)
+
+
+def test_aliases_do_not_send_texts_to_every_task(spark):
+    files = spark.createDataFrame([("web/a.ts", "use(rate_12x)"), ("web/b.ts", "say a b-c")], "path string, body string")
+    base = spark.createDataFrame([("m1", "metric", "rate_1"), ("m2", "metric", "a b")], "id string, kind string, label string")
+    found = meters.orphaned_aliases(base, base.where("false"), files)
+    assert {tuple(r) for r in found.collect()} == {("web/a.ts", "rate_1"), ("web/b.ts", "a b")}
+    assert "rightHint=(strategy=merge)" in found._jdf.queryExecution().optimizedPlan().toString()
