@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import patterns as R
+from .storage import keep
 
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'|[^\W\d]\w*|\d[\w.]*|\.\.\.|[^\s\w]", re.S)
 #: Methods of routers and the verbs they register.
@@ -277,7 +278,8 @@ def symbols(files: DataFrame):
     """Exported functions, types, constants and variables; endpoints; imports of this module's directories."""
     from . import extract as X
 
-    read_ = lex(files.where(X.is_go()))
+    # files spread over all tasks, and each is read once
+    read_ = keep(lex(files.where(X.is_go()).select("path", "body").repartition("path")), "go-read")
     decls = read_.select("path", "pkg", F.posexplode("decls").alias("pos", "d")).select("path", "pkg", "pos", "d.*").where("receiver IS NULL AND name RLIKE '^[A-Z]'").withColumnRenamed("kind", "what")
     nodes, edges = X._symbols(decls, "go", "package", F.col("pkg"))
     claims = decls.select("path", "pkg", "name", F.explode(F.regexp_extract_all(F.regexp_replace("doc", R.BACKTICKS, ""), F.lit(R.GO_IMPLEMENTS), 1)).alias("id")).distinct()
@@ -295,7 +297,8 @@ def call_graph(files: DataFrame, tests: bool = False, tags: frozenset[str] | Non
     Files that a build with ``tags`` (by default for linux on amd64) leaves out take no part."""
     skipped = r"(^|/)(\.[^/]*|node_modules|vendor)/"
     own = files.where(~F.col("path").rlike(skipped))
-    read_ = lex(in_build(own if tests else own.where(~F.col("path").endswith("_test.go")), tags))
+    chosen = own if tests else own.where(~F.col("path").endswith("_test.go"))
+    read_ = keep(lex(in_build(chosen.where(P.ext("path") == ".go").select("path", "body").repartition("path"), tags)), "go-read")
     defs = read_.select("pkg", F.col("path").alias("file"), F.explode("decls").alias("d")).where("d.kind = 'func'").select(
         "pkg", F.when(F.col("d.receiver").isNull(), F.col("d.name")).otherwise(F.concat("d.receiver", F.lit("::"), "d.name")).alias("name"), F.col("d.receiver").isNotNull().alias("method"), "file", F.col("d.line").alias("line")
     )

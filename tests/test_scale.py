@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.operators import graph, meters, traverse
+from tessera.operators import golang, graph, meters, traverse
 
 
 @pytest.fixture()
@@ -57,3 +57,12 @@ def test_aliases_do_not_send_texts_to_every_task(spark):
     found = meters.orphaned_aliases(base, base.where("false"), files)
     assert {tuple(r) for r in found.collect()} == {("web/a.ts", "rate_1"), ("web/b.ts", "a b")}
     assert "rightHint=(strategy=merge)" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_go_files_are_read_once(spark, counted):
+    rows = [("p/a.go", "package p\nfunc A() { b() }\n"), ("p/b.go", "package p\nfunc b() {}\n"), ("q/x.md", "none")]
+    files, seen = counted(rows, "path string, body string")
+    defs, calls = golang.call_graph(files)
+    assert {r["name"] for r in defs.collect()} == {"A", "b"}
+    assert [(r["from_func"], r["to_func"], r["file"]) for r in calls.collect()] == [("A", "b", "p/a.go")]
+    assert seen.value == len(rows)
