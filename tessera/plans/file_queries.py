@@ -499,7 +499,7 @@ def node_selector(spark, d):
 @query("virtual_graph", None)
 def virtual_graph(spark, d):
     """All passes over the virtual repository: counts by kind."""
-    nodes, edges = X.build_graph(repo(spark, d), RULES, ["make all"])
+    nodes, edges = X.build_graph(written_repo(spark, d), RULES, ["make all"])
     counts = [x.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "kind", "n") for w, x in (("node", nodes), ("edge", edges))]
     return counts[0].unionByName(counts[1])
 
