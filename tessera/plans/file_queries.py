@@ -332,7 +332,7 @@ def truth_alignment(spark, d):
     files, was, now = _edited(spark, d)
     nodes, typed = X.typed_ids(files)
     known = nodes.select(F.col("id").alias("node")).distinct()
-    edges = typed.unionByName(X.code_mentions(files, known)[1])
+    edges = keep(typed.unionByName(X.code_mentions(files, known)[1]), "typed-edges")
     empty = nodes.where("false")
     return M.truth_alignment(empty, edges, was, now).where("relation = 'mentions'").select("direction", "authority_doc", "artifact")
 

@@ -1,6 +1,7 @@
 """What must not grow faster than the input: how often a table is read, what comes to the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import golang, graph, meters, traverse
 
@@ -66,3 +67,40 @@ def test_go_files_are_read_once(spark, counted):
     assert {r["name"] for r in defs.collect()} == {"A", "b"}
     assert [(r["from_func"], r["to_func"], r["file"]) for r in calls.collect()] == [("A", "b", "p/a.go")]
     assert seen.value == len(rows)
+
+
+def shuffled(spark, df):
+    """The rows of df, and how many rows its stages wrote for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    had = {stages().apply(i).stageId() for i in range(stages().size())}
+    rows = [tuple(r) for r in df.collect()]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = stages()
+    return rows, sum(x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size())) if x.stageId() not in had)
+
+
+def test_truth_alignment_does_not_shuffle_pairs(spark):
+    """Every document of an id conflicts with every artifact: 10,000 rows from 200, in cells of 10 by 10 or in one."""
+    now = spark.createDataFrame([(f"d{i}.md", "doc", "x") for i in range(100)] + [(f"a{i}.py", "code", "y") for i in range(100)], "path string, kind string, semantic_hash string")
+    was = now.withColumn("semantic_hash", F.when(F.col("kind") == "doc", "old").otherwise(F.col("semantic_hash")))
+    edges = spark.createDataFrame([("defines", f"doc:d{i}.md", "us:US-001") for i in range(100)] + [("mentions", f"file:a{i}.py", "us:US-001") for i in range(100)] * 2, "kind string, src string, dst string")
+    nodes = spark.createDataFrame([], "id string, kind string, path string")
+    for cell in (10, 1000):
+        rows, n = shuffled(spark, meters.truth_alignment(nodes, edges, was, now, cell))
+        assert sorted(rows) == sorted(("truth_ahead", f"d{i}.md", "us:US-001", f"a{k}.py", "code", "mentions") for i in range(100) for k in range(100))
+        assert n < 6000
+
+
+def test_truth_alignment_has_each_relation_once(spark):
+    """A test that both a link and an id lead to is found once; a document without an id has its links."""
+    now = spark.createDataFrame([("d.md", "doc", "x"), ("e.md", "doc", "x"), ("a.py", "code", "y"), ("b.py", "code", "y"), ("test_a.py", "code", "y"), ("c.py", "code", "z")], "path string, kind string, semantic_hash string")
+    was = spark.createDataFrame([("d.md", "old"), ("e.md", "old"), ("a.py", "y"), ("b.py", "y"), ("test_a.py", "y"), ("c.py", "old")], "path string, semantic_hash string")
+    edges = [("defines", "doc:d.md", "us:US-001"), ("mentions", "file:a.py", "us:US-001"), ("mentions", "file:c.py", "us:US-001"), ("mentions", "doc:d.md", "file:a.py"), ("mentions", "doc:e.md", "file:a.py"), ("verifies", "test:test_a.py", "file:a.py"), ("implements", "code_symbol:s", "us:US-001")]
+    edges = spark.createDataFrame(edges, "kind string, src string, dst string")
+    nodes = spark.createDataFrame([("code_symbol:s", "code_symbol", "b.py")], "id string, kind string, path string")
+    us, e = ("truth_ahead", "d.md", "us:US-001"), ("truth_ahead", "e.md", "doc:e.md")
+    assert sorted(tuple(r) for r in meters.truth_alignment(nodes, edges, was, now).collect()) == sorted([
+        (*us, "a.py", "code", "mentions"), (*us, "b.py", "code", "implements"), (*us, "a.py", "code", "doc_link"), (*us, "test_a.py", "test", "verifies"), (*e, "a.py", "code", "doc_link"), (*e, "test_a.py", "test", "verifies"),
+    ])
