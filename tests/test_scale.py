@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import golang, graph, meters, traverse
+from tessera.sources import documents
 
 
 @pytest.fixture()
@@ -104,3 +105,17 @@ def test_truth_alignment_has_each_relation_once(spark):
     assert sorted(tuple(r) for r in meters.truth_alignment(nodes, edges, was, now).collect()) == sorted([
         (*us, "a.py", "code", "mentions"), (*us, "b.py", "code", "implements"), (*us, "a.py", "code", "doc_link"), (*us, "test_a.py", "test", "verifies"), (*e, "a.py", "code", "doc_link"), (*e, "test_a.py", "test", "verifies"),
     ])
+
+
+def test_documents_are_parsed_once(spark, tmp_path):
+    """What is read is a table, not the text, and a field's name as a value misleads nobody."""
+    shape = {"nodes": "id string, label string", "edges": "kind string, src string, dst string"}
+    nodes = spark.createDataFrame([("a", "src"), ("b", '"src":'), ("a", "src")], shape["nodes"])
+    edges = spark.createDataFrame([("id", "a", "b"), ("id", "a", "b")], shape["edges"])
+    path = str(tmp_path / "graph")
+    documents.write(path, "graph", {"nodes": nodes, "edges": edges.distinct()})
+    head, read = documents.read(spark, path, "graph", shape)
+    assert head["totals"] == {"nodes": 2, "edges": 1}
+    assert {tuple(r) for r in read["nodes"].collect()} == {("a", "src"), ("b", '"src":')}
+    assert [tuple(r) for r in read["edges"].collect()] == [("id", "a", "b")]
+    assert not any("FileScan text" in r._jdf.queryExecution().executedPlan().toString() for r in read.values())
