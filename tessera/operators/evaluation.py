@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.globs import glob_to_regex
 from ..functions.patterns import MOVEMENT_METERS
-from .graph import degree, neighbours
+from .graph import degree, sides
 
 
 def _c(x) -> Column:
@@ -48,10 +48,21 @@ def micro(rows: DataFrame, predicted="actual", gold="expected") -> DataFrame:
     return s.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))
 
 
+def seed_nodes(seeds: DataFrame) -> DataFrame:
+    """node: the file, doc and test nodes that seed paths (path) may have."""
+    return seeds.select(F.explode(F.array(*[F.concat(F.lit(k), F.col("path")) for k in ("file:", "doc:", "test:")])).alias("node"))
+
+
 def impact(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Paths one hop, either way, from the file, doc or test nodes of seed paths (path)."""
-    ids = seeds.select("path", F.explode(F.array(*[F.concat(F.lit(k), F.col("path")) for k in ("file:", "doc:", "test:")])).alias("node"))
-    near = neighbours(edges).join(ids, "node").select(F.col("path").alias("seed"), F.col("other").alias("id")).distinct()
+    return beside(seeds, seed_nodes(seeds), nodes, edges)
+
+
+def beside(seeds: DataFrame, starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths one hop, either way, from starts (node), without those of the seeds.
+
+    Both ends of the edges are shuffled once, by the node that may be a start; only what is beside one goes on."""
+    near = sides(edges).join(starts, "node", "left_semi").select(F.col("other").alias("id")).distinct()
     found = near.join(nodes.where("kind <> 'directory' AND path IS NOT NULL AND path <> ''").select("id", "path"), "id").select("path").distinct()
     return found.join(seeds.select("path"), "path", "left_anti")
 

@@ -331,13 +331,10 @@ def impact_predict(spark, d):
 
 
 def impact_by_id(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    from ..operators.evaluation import impact
+    """As ``impact``, where ids (path, id) say which node is a seed's file. Edges keep their names: the seeds' names are looked for."""
+    from ..operators.evaluation import beside, seed_nodes
 
-    named = nodes.join(ids.select("id", F.col("path").alias("own")), "id", "left").withColumn("id", F.coalesce(F.concat(F.lit("file:"), F.col("own")), "id"))
-    to_name = ids.select(F.col("id").alias("old"), F.concat(F.lit("file:"), F.col("path")).alias("new"))
-    renamed = edges.join(to_name, edges["src"] == to_name["old"], "left").select("kind", F.coalesce("new", "src").alias("src"), "dst")
-    renamed = renamed.join(to_name, renamed["dst"] == to_name["old"], "left").select("kind", "src", F.coalesce("new", "dst").alias("dst"))
-    return impact(ids.select("path"), named.select("id", "kind", "path"), renamed)
+    return beside(ids.select("path"), seed_nodes(ids).unionByName(ids.select(F.col("id").alias("node"))), nodes, edges)
 
 
 @query(

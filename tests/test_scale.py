@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import golang, graph, meters, traverse
+from tessera.plans import graph_queries
 from tessera.sources import documents
 
 
@@ -119,3 +120,13 @@ def test_documents_are_parsed_once(spark, tmp_path):
     assert {tuple(r) for r in read["nodes"].collect()} == {("a", "src"), ("b", '"src":')}
     assert [tuple(r) for r in read["edges"].collect()] == [("id", "a", "b")]
     assert not any("FileScan text" in r._jdf.queryExecution().executedPlan().toString() for r in read.values())
+
+
+def test_impact_shuffles_the_ends_of_edges_once(spark):
+    """Seeds are looked for by the names that edges have; 2000 edges, of which two touch the seed."""
+    edges = spark.range(0, 2000, 1, 4).selectExpr("'e' AS kind", "concat('file:', id) AS src", "concat('x:', id + 1) AS dst").unionByName(spark.createDataFrame([("e", "x:9000", "file:7"), ("e", "doc:src/7.py", "x:9001")], "kind string, src string, dst string"))
+    nodes = spark.range(0, 9002, 1, 4).selectExpr("concat('x:', id) AS id", "'doc' AS kind", "concat('p', id) AS path")
+    ids = spark.createDataFrame([("src/7.py", "file:7")], "path string, id string")
+    rows, n = shuffled(spark, graph_queries.impact_by_id(ids, nodes.where("id IN ('x:8', 'x:9000', 'x:9001', 'x:1')"), edges))
+    assert set(rows) == {("p8",), ("p9000",), ("p9001",)}
+    assert n < 4500
