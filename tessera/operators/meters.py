@@ -154,13 +154,14 @@ def candidates(findings: DataFrame) -> DataFrame:
 
 def stale_decisions(edges: DataFrame) -> DataFrame:
     """doc, old, new: documents that mention a document of a superseded decision, and none of the new one's."""
-    over = _edge(edges, "supersedes").select(F.col("src").alias("new"), F.col("dst").alias("old"))
-    defines = _edge(edges, "defines").select(F.col("src").alias("definer"), F.col("dst").alias("id")).distinct()
-    mentions = _edge(edges, "mentions").select(F.col("src").alias("doc"), F.col("dst").alias("definer")).distinct()
-    cites = mentions.join(defines, "definer").select("doc", "id").distinct()
-    stale = over.join(cites.withColumnRenamed("id", "old"), "old").select("doc", "old", "new").distinct()
-    fine = cites.union(defines.select(F.col("definer").alias("doc"), "id")).select("doc", F.col("id").alias("new")).distinct()
-    return stale.join(fine, ["doc", "new"], "left_anti").select("doc", "old", "new")
+    over = _edge(edges, "supersedes").select(F.col("src").alias("new"), F.col("dst").alias("old")).distinct()
+    # what a document of a decision, or one that mentions it, says about a pair: it has the old one (fine is false) or the new one
+    either = F.explode(F.array(F.struct(F.col("old").alias("id"), F.lit(False).alias("fine")), F.struct(F.col("new").alias("id"), F.lit(True).alias("fine"))))
+    pairs = over.select("old", "new", either.alias("x")).select("old", "new", "x.id", "x.fine")
+    definers = pairs.join(_edge(edges, "defines").select(F.col("src").alias("definer"), F.col("dst").alias("id")), "id").select("definer", "old", "new", "fine").distinct()
+    said = definers.join(_edge(edges, "mentions").select(F.col("src").alias("doc"), F.col("dst").alias("definer")), "definer").select("doc", "old", "new", "fine")
+    said = said.unionByName(definers.where("fine").withColumnRenamed("definer", "doc"))
+    return said.groupBy("doc", "old", "new").agg(F.max(F.expr("fine AND doc IS NOT NULL")).alias("fine")).where("NOT fine").select("doc", "old", "new")
 
 
 def broken_chains(edges: DataFrame) -> DataFrame:

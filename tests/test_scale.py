@@ -130,3 +130,12 @@ def test_impact_shuffles_the_ends_of_edges_once(spark):
     rows, n = shuffled(spark, graph_queries.impact_by_id(ids, nodes.where("id IN ('x:8', 'x:9000', 'x:9001', 'x:1')"), edges))
     assert set(rows) == {("p8",), ("p9000",), ("p9001",)}
     assert n < 4500
+
+
+def test_stale_decisions_take_only_what_superseded_ids_need(spark):
+    """Of 2000 mentions of a document with other ids nothing goes on; a document that defines or mentions the new decision is fine."""
+    named = [("supersedes", "adr:2", "adr:1"), ("supersedes", "adr:2", "adr:1"), ("defines", "doc:1", "adr:1"), ("defines", "doc:2", "adr:2"), ("defines", "doc:9", "us:1"), ("mentions", "doc:a", "doc:1"), ("mentions", "doc:a", "doc:1"), ("mentions", "doc:b", "doc:1"), ("mentions", "doc:b", "doc:2"), ("mentions", "doc:2", "doc:1")]
+    edges = spark.createDataFrame(named, "kind string, src string, dst string").unionByName(spark.range(0, 2000, 1, 4).selectExpr("'mentions' AS kind", "concat('doc:', id) AS src", "'doc:9' AS dst"))
+    rows, n = shuffled(spark, meters.stale_decisions(edges))
+    assert rows == [("doc:a", "adr:1", "adr:2")]
+    assert n < 3000
