@@ -91,12 +91,10 @@ def hops(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     level = starts.select("node").distinct().withColumn("at", F.col("node"))
     found = None
     for n in range(1, depth + 1):
-        step = level.join(edges, level["at"] == edges["src"]).select("node", F.col("dst").alias("at")).distinct()
-        if found is not None:
-            step = step.join(found.select("node", F.col("target").alias("at")), ["node", "at"], "left_anti")
-        now = step.select("node", F.col("at").alias("target"), F.lit(n).alias("level"))
-        found = now if found is None else found.unionByName(now)
-        level = step
+        step = level.join(edges, level["at"] == edges["src"]).select("node", F.col("dst").alias("target"), F.lit(n).alias("level"))
+        # one aggregate makes the pairs distinct and keeps the least level; an anti-join besides would hold and sort all pairs again
+        found = (step if found is None else found.unionByName(step)).groupBy("node", "target").agg(F.min("level").alias("level"))
+        level = found.where(F.col("level") == n).select("node", F.col("target").alias("at"))
     return found
 
 

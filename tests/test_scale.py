@@ -139,3 +139,11 @@ def test_stale_decisions_take_only_what_superseded_ids_need(spark):
     rows, n = shuffled(spark, meters.stale_decisions(edges))
     assert rows == [("doc:a", "adr:1", "adr:2")]
     assert n < 3000
+
+
+def test_hops_hold_the_pairs_of_a_level_once(spark):
+    """The least level of each pair from one aggregate a level: pairs aren't joined with what was found before."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("a", "b")], "src string, dst string")
+    found = traverse.hops(spark.createDataFrame([("a",)], "node string"), edges, 3)
+    assert {tuple(r) for r in found.collect()} == {("a", "b", 1), ("a", "c", 1), ("a", "a", 2), ("a", "d", 2), ("a", "e", 3)}
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
