@@ -89,7 +89,7 @@ def _first_tracked(rows: DataFrame, candidates: Column, tracked: DataFrame) -> D
 
     rows has a unique ``row_key``."""
     tried = rows.select("*", F.posexplode(candidates).alias("nth", "target"))
-    met = tried.join(tracked.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
+    met = tried.join(tracked.select(F.col("path").alias("target")), "target", "left_semi")
     return first_by(met, ["row_key"], ["nth"]).drop("nth")
 
 

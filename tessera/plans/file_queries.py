@@ -314,17 +314,20 @@ PAIRS = f"WITH t AS (SELECT path, regexp_replace(path, '\\.(test|spec)\\.ts$', '
 
 
 def _edited(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The repository, its snapshot and one in which every path of a length divisible by 4 differs."""
+    """The repository, its snapshot and one in which every path of a length divisible by 4 differs.
+
+    The keys that texts are put together from are small tables of few tasks: the texts are hashed after they are spread."""
     files = repo(spark, d)
-    now = keep(S.take(files), "now")
+    now = keep(S.take(files.select("path", "body").repartition("path")), "now")
     was = now.withColumn("semantic_hash", F.when(F.length("path") % 4 == 0, F.lit("old")).otherwise(F.col("semantic_hash")))
     return files, was, now
 
 
 @query("stale_tests", f"{PAIRS} SELECT t.path AS test, t.src AS source FROM t JOIN m a ON a.path = t.src JOIN m b ON b.path = t.path WHERE a.moved AND NOT b.moved UNION ALL SELECT p, replace(p, '/test_', '/') FROM (SELECT path AS p FROM {{repo}} WHERE {TEST_PY}) WHERE length(replace(p, '/test_', '/')) % 4 = 0 AND length(p) % 4 <> 0 AND replace(p, '/test_', '/') IN (SELECT path FROM {{repo}}) UNION ALL SELECT t.path, concat(t.src, 'x') FROM t WHERE t.src NOT IN (SELECT path FROM {{repo}}) AND concat(t.src, 'x') IN (SELECT path FROM {{repo}}) AND length(concat(t.src, 'x')) % 4 = 0 AND length(t.path) % 4 <> 0")
 def stale_tests(spark, d):
-    files, was, now = _edited(spark, d)
-    return M.stale_tests(X.tests(files)[1], was, now)
+    _, was, now = _edited(spark, d)
+    # tests are known by their paths, which the snapshot has
+    return M.stale_tests(X.tests(now)[1], was, now)
 
 
 @query("truth_alignment", f"WITH docs AS (SELECT path AS doc, own FROM ({OWN}) WHERE own IS NOT NULL), c AS (SELECT i.path AS artifact, d.doc, d.own FROM ({IDS}) i JOIN docs d ON i.id = d.own WHERE regexp_matches(i.path, '\\.(tsx?|py|sql)$')) SELECT DISTINCT CASE WHEN length(artifact) % 4 = 0 THEN 'implementation_ahead' ELSE 'truth_ahead' END AS direction, doc AS authority_doc, artifact FROM c WHERE (length(doc) % 4 = 0) <> (length(artifact) % 4 = 0)")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import golang, graph, meters, traverse
-from tessera.plans import graph_queries
+from tessera.operators.storage import keep
+from tessera.plans import file_queries, graph_queries
 from tessera.sources import documents
 
 
@@ -147,3 +148,15 @@ def test_hops_hold_the_pairs_of_a_level_once(spark):
     found = traverse.hops(spark.createDataFrame([("a",)], "node string"), edges, 3)
     assert {tuple(r) for r in found.collect()} == {("a", "b", 1), ("a", "c", 1), ("a", "a", 2), ("a", "d", 2), ("a", "e", 3)}
     assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stale_tests_reads_files_once_and_spreads_them(spark, counted, monkeypatch):
+    """Files that come from one task are hashed by several, and no text is made again for the pairs."""
+    rows = [("a/abc.py", "x"), ("a/test_abc.py", "y"), ("b/ab.py", "x"), ("b/test_ab.py", "y"), *((f"c/{i}.md", f"# {i}") for i in range(200))]
+    files, seen = counted(rows, "path string, body string")
+    monkeypatch.setattr(file_queries, "repo", lambda *_: files.coalesce(1))
+    kept = []
+    monkeypatch.setattr(file_queries, "keep", lambda df, label: kept.append(df) or keep(df, label))
+    assert [tuple(r) for r in file_queries.stale_tests(spark, "").collect()] == [("a/test_abc.py", "a/abc.py")]
+    assert seen.value == len(rows)
+    assert "RepartitionByExpression [path" in kept[0]._jdf.queryExecution().optimizedPlan().toString()
