@@ -240,7 +240,7 @@ def _walk_rings(pdf):
                 place[nxt] = len(path)
                 path.append(nxt)
                 todo.append(iter(after.get(nxt, ())))
-    return pd.DataFrame({"ring": rings})
+    return pd.DataFrame({"ring": pd.Series(rings, dtype=object)})  # of a bucket without rings too
 
 
 def reported_cycles(edges: DataFrame, task_arcs: int = 200_000) -> DataFrame:
@@ -249,14 +249,32 @@ def reported_cycles(edges: DataFrame, task_arcs: int = 200_000) -> DataFrame:
 
     The walk enters a strong component where it comes to it first, so what leads to cycles must
     be walked too, and what leads to none need not. Walks of parts that aren't connected don't
-    meet: each is a walk of its own, small ones several to a task. Only a connected part of
-    arcs that lead to a cycle is ever in one task."""
+    meet: each is a walk of its own. Parts of up to ``task_arcs`` arcs are walked whole, several
+    to a task. Of larger ones only connected parts of arcs that lead to a cycle are walked, each
+    in one task."""
     arcs = keep(edges.select("src", "dst").distinct(), "arcs")
+    own, sizes, tasks = weak_components(arcs, task_arcs)
+    small = own.join(sizes.where(F.col("n") <= task_arcs).select("component"), "component", "left_semi")
+    out = _rings(small.select("src", "dst", _bucket(tasks).alias("task")))
+    if not sizes.where(F.col("n") > task_arcs).isEmpty():
+        large = own.join(sizes.where(F.col("n") > task_arcs).select("component"), "component", "left_semi")
+        own, sizes, tasks = weak_components(_leading(keep(large.select("src", "dst"), "large")), task_arcs)
+        task = F.when(F.col("n") <= task_arcs, _bucket(tasks)).otherwise(F.concat(F.lit("c"), "component"))
+        out = out.unionByName(_rings(own.join(sizes, "component").select("src", "dst", task.alias("task"))))
+    return out
+
+
+def _bucket(tasks: int):
+    return F.concat(F.lit("t"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string"))
+
+
+def _rings(arcs: DataFrame) -> DataFrame:
+    return arcs.groupBy("task").applyInPandas(_walk_rings, "ring array<string>")
+
+
+def _leading(arcs: DataFrame) -> DataFrame:
+    """The arcs back from the cycles: those that lead to one."""
     ring = cycle_arcs(arcs).select(F.col("src").alias("node")).distinct()
-    # back from the cycles: what reaches one
     turned = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     leads = _walk(ring, turned)
-    rest = keep(arcs.join(leads.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "leading")
-    own, sizes, tasks = weak_components(rest, task_arcs)
-    task = F.when(F.col("n") <= task_arcs, F.concat(F.lit("t"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string"))).otherwise(F.concat(F.lit("c"), "component"))
-    return own.join(sizes, "component").select("src", "dst", task.alias("task")).groupBy("task").applyInPandas(_walk_rings, "ring array<string>")
+    return keep(arcs.join(leads.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "leading")

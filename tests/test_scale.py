@@ -160,3 +160,16 @@ def test_stale_tests_reads_files_once_and_spreads_them(spark, counted, monkeypat
     assert [tuple(r) for r in file_queries.stale_tests(spark, "").collect()] == [("a/test_abc.py", "a/abc.py")]
     assert seen.value == len(rows)
     assert "RepartitionByExpression [path" in kept[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rings_of_small_parts_are_walked_without_trimming(spark, monkeypatch):
+    """Strong components and walks back are for parts that no task takes whole; both ways find the same rings."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("x", "a"), ("c", "z"), ("z", "y"), ("l", "l"), ("p", "q")]
+    arcs = spark.createDataFrame(pairs, "src string, dst string")
+    had = []
+    strong = traverse.strong_components
+    monkeypatch.setattr(traverse, "strong_components", lambda *a: had.append("strong") or strong(*a))
+    rings = lambda limit: sorted(r["ring"] for r in traverse.reported_cycles(arcs, limit).collect())
+    assert rings(200_000) == [["a", "b", "c"], ["b", "c"], ["l"]] and had == []
+    # a task of small parts may hold no ring
+    assert rings(1) == [["a", "b", "c"], ["b", "c"], ["l"]] and had == ["strong"]
