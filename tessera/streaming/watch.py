@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import snapshot as S
+from ..operators.storage import keep
 
 
 def root_of(files: DataFrame) -> str:
@@ -40,7 +41,7 @@ class Poller:
 
 FILE = "path string, version long, content_hash string, body string"
 ENTRY = "dir string, name string, is_dir boolean, hash string, batch long"
-STATE = "root string, segments array<struct<name string, rows long>>"
+STATE = "root string, segments array<struct<name string, rows long, files string>>"  # files: whose texts; null: its own
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -94,7 +95,34 @@ def _read(spark: SparkSession, path: str, names: list[str], schema: str) -> Data
     return spark.read.schema(schema).parquet(*[f"{path}/{name}" for name in names]) if names else spark.createDataFrame([], schema)
 
 
-def to_merge(segments: list[tuple[str, int]]) -> int:
+def _texts(segments: list[tuple]) -> list[str]:
+    return [s[2] for s in segments]
+
+
+def _keys(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    return _read(spark, path, names, FILE).select("path", "version", "content_hash")
+
+
+def _top(keys: DataFrame) -> DataFrame:
+    """The newest version of each path, as ``newest`` has it, without texts."""
+    return keys.groupBy("path").agg(F.max(F.struct("version", "content_hash")).alias("top")).select("path", "top.version", "top.content_hash")
+
+
+def _whole(spark: SparkSession, path: str, parts: list[tuple]) -> str | None:
+    """The one segment whose rows are all newest, if the others hold none that are."""
+    rows = None
+    for _, _, texts in parts:
+        own = _keys(spark, path, [texts]).withColumn("texts", F.lit(texts))
+        rows = own if rows is None else rows.unionByName(own)
+    top = rows.groupBy("path").agg(F.max(F.struct("version", "content_hash", "texts")).alias("top"))
+    newest_of = {r["texts"]: r["n"] for r in top.groupBy("top.texts").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(newest_of) != 1:
+        return None
+    texts, n = newest_of.popitem()
+    return texts if n == spark.read.parquet(f"{path}/{texts}").count() else None
+
+
+def to_merge(segments: list[tuple]) -> int:
     """How many of the last segments become one: 1 if none has to be merged."""
     count, rows = 1, segments[-1][1]
     while count < len(segments) and segments[-count - 1][1] <= 2 * rows:
@@ -107,37 +135,39 @@ def step(spark: SparkSession, batch: DataFrame, number: int, table: str) -> tupl
     files, entries, lists = f"{table}/files", f"{table}/entries", f"{table}/lists"
     last = f"batch={number - 1}"
     before = spark.read.schema(STATE).parquet(f"{lists}/{last}").first() if last in _names(spark, lists) else None
-    old = [(s["name"], s["rows"]) for s in before["segments"]] if before else []
-    names = [name for name, _ in old]
+    old = [(s["name"], s["rows"], s["files"] or s["name"]) for s in before["segments"]] if before else []
+    names = [s[0] for s in old]
 
-    fresh = newest(hashed(batch))
-    was = _read(spark, files, names, FILE).select("path", "version", "content_hash", F.lit(None).cast("string").alias("body"))
-    was = newest(was.join(fresh.select("path"), "path", "left_semi")).select("path", F.col("version").alias("old_version"), F.col("content_hash").alias("old_hash"))
-    later = (F.col("version") > F.col("old_version")) | ((F.col("version") == F.col("old_version")) & (F.coalesce("content_hash", F.lit("")) > F.coalesce("old_hash", F.lit(""))))
-    fresh = fresh.join(was, "path", "left").where(F.col("old_version").isNull() | later)
     own = f"batch={number}"
-    fresh.write.mode("overwrite").parquet(f"{files}/{own}")
-    fresh = spark.read.schema(FILE + ", old_version long, old_hash string").parquet(f"{files}/{own}")
-    rows = fresh.count()
+    hashed(batch).where("path <> '' AND version IS NOT NULL").write.mode("overwrite").parquet(f"{files}/{own}")
+    fresh = _top(_keys(spark, files, [own]))
+    was = _keys(spark, files, _texts(old)).join(fresh.select("path"), "path", "left_semi")
+    was = _top(was).select("path", F.col("version").alias("old_version"), F.col("content_hash").alias("old_hash"))
+    later = (F.col("version") > F.col("old_version")) | ((F.col("version") == F.col("old_version")) & (F.coalesce("content_hash", F.lit("")) > F.coalesce("old_hash", F.lit(""))))
+    fresh = keep(fresh.join(was, "path", "left").where(F.col("old_version").isNull() | later), "fresh")
+    # a batch of which nothing is new leaves no segment
+    rows = 0 if fresh.isEmpty() else spark.read.parquet(f"{files}/{own}").count()
     changes = fresh.where("NOT content_hash <=> old_hash").select("path", F.col("content_hash").alias("hash"))
     known = latest_entries(_read(spark, entries, names, ENTRY)) if names else None
     S.merkle_update(known, changes).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{entries}/{own}")
     found = _read(spark, entries, [own], ENTRY).where("dir = '' AND name = '.'").first()
     root = found["hash"] if found else before["root"] if before else S.NOTHING
 
-    segments = [*old, (own, rows)] if rows else old
+    segments = [*old, (own, rows, own)] if rows else old
     many = to_merge(segments) if rows else 1
     if many > 1:
-        parts, one = [name for name, _ in segments[-many:]], f"merged={number}"
-        newest(_read(spark, files, parts, FILE)).write.mode("overwrite").parquet(f"{files}/{one}")
-        latest_entries(_read(spark, entries, parts, ENTRY)).write.mode("overwrite").parquet(f"{entries}/{one}")
-        segments = [*segments[:-many], (one, spark.read.parquet(f"{files}/{one}").count())]
+        parts, one = segments[-many:], f"merged={number}"
+        latest_entries(_read(spark, entries, [s[0] for s in parts], ENTRY)).write.mode("overwrite").parquet(f"{entries}/{one}")
+        texts = _whole(spark, files, parts)
+        if texts is None:
+            texts = one
+            newest(_read(spark, files, _texts(parts), FILE)).write.mode("overwrite").parquet(f"{files}/{one}")
+        segments = [*segments[:-many], (one, spark.read.parquet(f"{files}/{texts}").count(), texts)]
     spark.createDataFrame([(root, segments)], STATE).coalesce(1).write.mode("overwrite").parquet(f"{lists}/{own}")
-    stay = {name for name, _ in [*old, *segments]}
-    for path in (files, entries):
-        _only(spark, path, stay)
+    _only(spark, entries, {s[0] for s in [*old, *segments]})
+    _only(spark, files, set(_texts([*old, *segments])))
     _only(spark, lists, {last, own})
-    return before["root"] if before else None, root, [name for name, _ in segments]
+    return before["root"] if before else None, root, _texts(segments)
 
 
 def logged(evaluate: Callable[[DataFrame, str], None], log: Callable[[str], None] = print) -> Callable[[DataFrame, str], None]:

@@ -93,3 +93,15 @@ def test_errors_end_the_watch_unless_logged(spark, tmp_path):
         run(fails)
     run(W.logged(fails, lines.append))  # the batch is repeated
     assert len(lines) == 1 and "no" in lines[0]
+
+
+def test_texts_that_stay_the_newest_are_not_written_again(spark, tmp_path):
+    """A second batch that replaces all of the first takes its place as it is, and versions in it that lost do no harm."""
+    W.step(spark, spark.createDataFrame([("a/x", "1", 0), ("b", "2", 0)], VERSIONS), 0, str(tmp_path))
+    _, root, names = W.step(spark, spark.createDataFrame([("a/x", "3", 1), ("b", None, 1), ("c", "4", 1)], VERSIONS), 1, str(tmp_path))
+    assert names == ["batch=1"] and {f.name for f in (tmp_path / "files").iterdir()} == {"batch=0", "batch=1"}
+    assert root == whole(spark, {"a/x": "3", "c": "4"})
+    _, root, names = W.step(spark, spark.createDataFrame([("c", "5", 2), ("c", "6", 0), ("a/x", "7", 0), ("d", "8", 2), ("d", "8", 2)], VERSIONS), 2, str(tmp_path))
+    assert root == whole(spark, {"a/x": "3", "c": "5", "d": "8"})
+    kept = W.newest(W._read(spark, f"{tmp_path}/files", names, W.FILE)).where("body IS NOT NULL")
+    assert {r.path: r.body for r in kept.collect()} == {"a/x": "3", "c": "5", "d": "8"}
