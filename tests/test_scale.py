@@ -173,3 +173,11 @@ def test_rings_of_small_parts_are_walked_without_trimming(spark, monkeypatch):
     assert rings(200_000) == [["a", "b", "c"], ["b", "c"], ["l"]] and had == []
     # a task of small parts may hold no ring
     assert rings(1) == [["a", "b", "c"], ["b", "c"], ["l"]] and had == ["strong"]
+
+
+def test_degree_counts_where_all_ends_of_a_node_are(spark):
+    """Tasks that make edges distinct don't hold counts of their ends besides."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "c")], "src string, dst string").distinct()
+    found = graph.degree(edges)
+    assert {tuple(r) for r in found.collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    assert "RepartitionByExpression [node" in found._jdf.queryExecution().optimizedPlan().toString()
