@@ -153,12 +153,12 @@ def select_nodes(nodes: DataFrame, edges: DataFrame, id_prefix="", path_glob="",
     return rows
 
 
-def weighted_pick(nodes: DataFrame, edges: DataFrame, draw: float) -> DataFrame:
-    """The node at ``draw`` (0 to 1) of the weights degree + 1, by degree (largest first) and id.
+def weighted_pick(nodes: DataFrame, edges: DataFrame, draw: float, tasks: int | None = None) -> DataFrame:
+    """The node at ``draw`` (0 to 1) of the weights degree + 1, by degree (largest first) and id; ``tasks`` as in ``degree``.
 
     A degree's whole weight is summed first, so the running sums are over distinct degrees and
     then over the ids of one of them, not over all nodes in one task."""
-    w = nodes.select("id").join(degree(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    w = nodes.select("id").join(degree(edges, tasks).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
     per = w.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum(F.expr("n * (degree + 1)")).over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum(F.expr("n * (degree + 1)")).over(Window.partitionBy())

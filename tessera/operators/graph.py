@@ -40,12 +40,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return sides(edges).distinct()
 
 
-def degree(edges: DataFrame) -> DataFrame:
+def degree(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Ends of edges at each node; a loop counts twice.
 
     Ends go to their nodes' tasks uncounted: tasks that make edges distinct hold those already, and
-    counting there would hold nearly every end of theirs besides."""
-    return sides(edges).select("node").repartition("node").groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    counting there would hold nearly every end of theirs besides. ``tasks`` says how many tasks count;
+    without it that is the session's number, however many ends there are."""
+    ends = sides(edges).select("node")
+    return (ends.repartition(tasks, "node") if tasks else ends.repartition("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def diff_nodes(base: DataFrame, current: DataFrame) -> DataFrame:

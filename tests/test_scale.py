@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import golang, graph, meters, traverse
 from tessera.operators.storage import keep
-from tessera.plans import file_queries, graph_queries
+from tessera.plans import file_queries, graph_queries, virtual
 from tessera.sources import documents
 
 
@@ -181,3 +181,32 @@ def test_degree_counts_where_all_ends_of_a_node_are(spark):
     found = graph.degree(edges)
     assert {tuple(r) for r in found.collect()} == {("a", 1), ("b", 2), ("c", 3)}
     assert "RepartitionByExpression [node" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def most_read(spark, df):
+    """The rows of df, and the most shuffled rows that one of its tasks read."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: (x.apply(i) for x in [store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)] for i in range(x.size()))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    had = {x.stageId() for x in stages()}
+    rows = [tuple(r) for r in df.collect()]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 1)
+    last[0] = 1.0
+    of = [store.taskSummary(x.stageId(), x.attemptId(), last) for x in stages() if x.stageId() not in had]
+    return rows, max(x.get().shuffleReadMetrics().readRecords().apply(0) for x in of if x.isDefined())
+
+
+def test_degree_is_counted_by_as_many_tasks_as_rows_need(spark, monkeypatch):
+    """6000 lines make 18,000 of the edges: no task holds them all, neither to make them distinct nor to count their ends."""
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(virtual, "TASK_ROWS", 1000)
+    for name, key in (("edges_current", ("src", "dst")), ("edges_base", ("src", "dst")), ("nodes_current", ("id",)), ("nodes_base", ("id",))):
+        found, asked = virtual.dealt(spark, d, name, *key)[0], virtual.frame(spark, d, name)
+        assert found.columns == asked.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, asked.collect()))
+    ends = graph.sides(virtual.frame(spark, d, "edges_current")).groupBy("node").count()
+    rows, most = most_read(spark, graph_queries.degree(spark, d))
+    assert sorted(rows) == sorted(map(tuple, ends.collect()))
+    assert most < 4000
+    rows, most = most_read(spark, graph_queries.weighted_pick(spark, d))
+    assert len(rows) == 1 and most < 4000
