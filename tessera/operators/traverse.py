@@ -5,36 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linked
 from .storage import keep
 
 
-def reach(starts: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
-    """All nodes with a path to a start (column ``node``), starts included.
+def reach(starts: DataFrame, edges: DataFrame, directed: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """All nodes with a path to a start (column ``node``), starts included; with ``of`` (node) only those of them.
 
-    Undirected reachability is equality of components, so nothing is walked hop by hop."""
+    Undirected reachability is equality of components, so nothing is walked hop by hop. Edges needn't be distinct."""
     if directed:
-        return _walk(starts, edges)
-    known = _linked(edges, starts)
-    hit = known.where("marked").select("component").distinct()
-    return known.join(hit, "component", "left_semi").select("node")
+        found = _walk(starts, edges)
+        return found if of is None else found.join(of.distinct(), "node", "left_semi")
+    # ids are read once, as prefixes and numbers
+    pairs = keep(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*linked.split("src", "a"), *linked.split("dst", "b")), "pairs")
+    marked = keep(starts.select(*linked.split("node", "node")).distinct(), "starts")
+    none = marked.where("node IS NULL").select("node")  # a start without an id is linked with nothing
+    known = linked.prefixes((pairs, ["a", "b"]), (marked.where("node IS NOT NULL"), ["node"]))
+    if known is not None:
+        asked = None if of is None else of.select(*linked.split("node", "node"))
+        found = linked.linked(pairs, marked.where("node IS NOT NULL"), known, asked, _ends)
+        return found.unionByName(none) if of is None else found
+    parts = _linked(pairs.select(linked.joined("a").alias("src"), linked.joined("b").alias("dst")), marked.select(linked.joined("node").alias("node")))
+    hit = parts.where("marked").select("component").distinct()
+    found = parts.join(hit, "component", "left_semi").select("node")
+    return found if of is None else found.join(of.distinct(), "node", "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest id of its component)."""
-    known = _linked(edges, edges.select(F.col("src").alias("node")).where("false"))
+    pairs = keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "pairs")
+    known = _linked(pairs, pairs.select(F.col("src").alias("node")).where("false"))
     least = known.groupBy("component").agg(F.min("node").alias("least"))
     return known.join(least, "component").select("node", F.col("least").alias("component"))
 
 
-def _linked(edges: DataFrame, marked: DataFrame) -> DataFrame:
-    """node, marked, component (a number) of the ends of edges and of the marked nodes.
+def _linked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """node, marked, component (a number) of the ends of pairs (src, dst; a written table) and of the marked nodes.
 
-    Ids are read once and become 64-bit numbers, by a hash whose seed changes until no two ids
+    Ids become 64-bit numbers, by a hash whose seed changes until no two ids
     share a number. Then graphs of numbers are contracted: each number goes to the least one beside
     it, in an order that changes with the round, and what is left is the graph of those. A fixed
     share of the numbers leaves in each round, however long its paths, so all rounds together
     cost little more than the first."""
-    pairs = keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "pairs")
     seed = 0
     while True:
         number = lambda c: F.xxhash64(c, F.lit(seed))  # noqa: E731,B023
@@ -46,8 +58,19 @@ def _linked(edges: DataFrame, marked: DataFrame) -> DataFrame:
             break
         seed += 1
     left = _contracted(pairs.select(number("src").alias("a"), number("dst").alias("b")), names.select("number", "parent"))
+    ends = _ends(left)
+    if ends is None:
+        return names.select("node", "marked", F.col("parent").alias("component"))
+    later = ends.select(F.col("number").alias("parent"), F.col("parent").alias("end"))
+    return keep(names.join(later, "parent", "left").select("node", "marked", F.coalesce("end", "parent").alias("component")), "linked")
+
+
+def _ends(left: DataFrame) -> DataFrame | None:
+    """number, parent (one for all numbers of a component) of pairs (a, b); None without pairs.
+
+    They are contracted in rounds until they fit in a task."""
     rounds = []
-    while not left.isEmpty():
+    while (n := left.count()) > linked.CELL:
         turn, flip = 7 + 11 * len(rounds) % 56, F.lit((len(rounds) + 1) * 0x1E3779B97F4A7C15 % (1 << 62))
         mixed = lambda c: (F.shiftleft(c, turn).bitwiseOR(F.shiftrightunsigned(c, 64 - turn))).bitwiseXOR(flip)  # noqa: E731,B023
         plain = lambda c: F.shiftrightunsigned(c.bitwiseXOR(flip), turn).bitwiseOR(F.shiftleft(c.bitwiseXOR(flip), 64 - turn))  # noqa: E731,B023
@@ -55,15 +78,14 @@ def _linked(edges: DataFrame, marked: DataFrame) -> DataFrame:
         step = both.groupBy(F.col("a").alias("number")).agg(F.min("b").alias("b")).select("number", plain(F.least("b", mixed(F.col("number")))).alias("parent"))
         rounds.append(keep(step, "round"))
         left = _contracted(left, rounds[-1])
-    if not rounds:
-        return names.select("node", "marked", F.col("parent").alias("component"))
+    if not n and not rounds:
+        return None
     # back from the last round: where each number ended
-    ends = rounds.pop()
+    ends = keep(linked.solved(left), "solved") if n else rounds.pop()
     while rounds:
         step, later = rounds.pop(), ends.select(F.col("number").alias("parent"), F.col("parent").alias("end"))
         ends = keep(step.join(later, "parent", "left").select("number", F.coalesce("end", "parent").alias("parent")), "ends")
-    later = ends.select(F.col("number").alias("parent"), F.col("parent").alias("end"))
-    return keep(names.join(later, "parent", "left").select("node", "marked", F.coalesce("end", "parent").alias("component")), "linked")
+    return ends
 
 
 def _contracted(pairs: DataFrame, parents: DataFrame) -> DataFrame:
